@@ -82,20 +82,9 @@ def box_cox_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     usable = [c for c in positive if inner[c]]
     if not usable:
         return {}
-    pairs = F.explode(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.array(*[F.lit(x) for x in BOX_COX_LAMBDAS]),
-                        lambda lam, c=c: F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x"), lam.alias("lam")),
-                    )
-                    for c in usable
-                ]
-            )
-        )
-    )
-    tried = df.select(pairs.alias("t")).select("t.*")
+    values = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in usable])
+    lambdas = F.array(*[F.lit(x) for x in BOX_COX_LAMBDAS])
+    tried = df.select(F.explode(values).alias("t")).select("t.*", F.explode(lambdas).alias("lam"))
     power = F.when(F.col("lam") == 0, F.log("x")).otherwise((F.pow("x", "lam") - 1) / F.col("lam"))
     fits = tried.groupBy("c", "lam").agg(F.var_pop(power).alias("v"), F.count("*").alias("n")).collect()
     best: dict[str, tuple[float, float]] = {}

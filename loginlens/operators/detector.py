@@ -96,8 +96,12 @@ class DetectorModel(Model, DetectorParams):
         return {}
 
     def restore(self, state: dict[str, Any], read: Callable[[str], DataFrame]) -> None:
+        """Take over stored values and tables."""
         raise NotImplementedError
 
+    def load_members(self, path: str) -> None:
+        """Load models this one is made of."""
+
     def save(self, path: str) -> None:
         """Write the model to a new folder."""
         spark = SparkSession.active()
@@ -122,4 +126,5 @@ def load_detector(path: str, kind: str | None = None) -> DetectorModel:
     model._set(**metadata["params"])
     model.columns = metadata["columns"]
     model.restore(metadata["state"], lambda name: spark.read.parquet(f"{path}/{name}"))
+    model.load_members(path)
     return model

@@ -21,11 +21,13 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 from loginlens.functions.quantile import exact_quantile
 from loginlens.operators.detector import VECTOR, Detector, DetectorModel
 from loginlens.operators.distances import build_metric
+from loginlens.schema import with_field
 from loginlens.session import materialise
 
 BLOCK_ROWS = 4096  # reference vectors per block
@@ -206,8 +208,7 @@ class Blocks:
                     block = block + batch.column(spread_by).to_numpy() % splits[leaf]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*names, "block"])
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInArrow(assign, f"{fields}, block bigint")
+        return df.mapInArrow(assign, with_field(df.schema, "block", T.LongType()))
 
 
 def _nearest(space: Space, k: int, queries: pa.Table, refs: pa.Table) -> tuple[np.ndarray, pa.Array]:

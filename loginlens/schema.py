@@ -77,3 +77,8 @@ def as_model_value(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.DateType):
         return F.datediff(F.col(name), F.lit(DAY_ZERO).cast("date")).cast("double")
     return F.col(name).cast("double")
+
+
+def with_field(schema: T.StructType, name: str, data_type: T.DataType) -> T.StructType:
+    """The schema with one more field; ``StructType.add`` would change the frame's own schema."""
+    return T.StructType([*schema.fields, T.StructField(name, data_type)])
