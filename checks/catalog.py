@@ -499,12 +499,12 @@ def daily_logons(spark, sf_dir):
 @register(
     S.query(
         """select cast(min(period) as varchar) as start, cast((max(period) + interval 1 month)::date as varchar) as "end" from scored
-           where z > (select max(case when place = floor(at) then z end) + (max(case when place = ceil(at) then z end)
-                      - max(case when place = floor(at) then z end)) * (max(at) - floor(max(at))) from scored)""",
+           where z > (select max(case when place = floor(pos) then z end) + (max(case when place = ceil(pos) then z end)
+                      - max(case when place = floor(pos) then z end)) * (max(pos) - floor(max(pos))) from scored)""",
         MONTHS,
         "scores as (select period, (count - avg(count) over ()) / stddev_samp(count) over () as z from months)",
         """scored as (select *, row_number() over (order by z) - 1 as place,
-                     least(1.0, 0.90 + count(*) over () * 0.00019) * (count(*) over () - 1) as at from scores)""",
+                     least(1.0, 0.90 + count(*) over () * 0.00019) * (count(*) over () - 1) as pos from scores)""",
     )
 )
 def busy_range_orders(spark, sf_dir):

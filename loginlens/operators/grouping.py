@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loginlens.operators.normalise import entity_means
 from loginlens.schema import GROUP
-from loginlens.session import broadcast_if_small
+from loginlens.session import broadcast_if_small, materialise
 
 VECTOR = "_vector"
 
@@ -73,7 +73,6 @@ def fit_groups(means: DataFrame, k: int = 13, seed: int = 123, restarts: int = 5
             raise ValueError("grouping needs at least two entities")
         best = None
         for start in range(restarts):
-            # Explicit partitioning-independent start: the seed alone decides.
             model = KMeans(k=min(k, n), seed=seed + start, maxIter=max_iter, featuresCol=VECTOR).fit(vectors)
             if best is None or model.summary.trainingCost < best.summary.trainingCost:
                 best = model
@@ -128,7 +127,7 @@ def spectral_groups(means: DataFrame, k: int = 13, neighbours: int = 10, seed: i
     pairs = knn_pairs(distinct, key="entity", vector="vector", k=neighbours).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scale = pairs.agg(F.avg("distance")).first()[0] or 1.0
-        ids = distinct.select("entity", F.xxhash64("entity").alias("id"))
+        ids = materialise(distinct.select("entity", F.monotonically_increasing_id().alias("id")))
         weight = F.exp(-F.pow(F.col("distance") / F.lit(scale), 2) / 2)
         edges = (
             pairs.join(ids, "entity")

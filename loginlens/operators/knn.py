@@ -35,6 +35,7 @@ CHUNK_ROWS = 8192  # queries that meet a block in one task
 MAX_BLOCKS = 20_000  # beyond this, blocks grow instead
 SAMPLE_PER_BLOCK = 32
 STEP_ROWS = 256  # queries compared at once
+HOT_COPIES = 1_000_000  # copies from which a vector is joined by broadcast
 NEAR = "array<struct<distance:double,ref_id:bigint,copies:bigint>>"
 
 
@@ -106,6 +107,24 @@ def distinct_vectors(df: DataFrame, vector: str) -> DataFrame:
     return materialise(merged.select(F.monotonically_increasing_id().alias("vec_id"), "vector", "copies"))
 
 
+def join_by_vector(rows: DataFrame, per_vector: DataFrame, vector: str, hot: int = HOT_COPIES) -> DataFrame:
+    """Columns of distinct vectors (vector, copies, …) back on the rows that have them.
+
+    A vector with very many copies would send all its rows to one task. Such vectors are few, at
+    most the number of rows over ``hot``, so they are broadcast and only the other rows shuffle.
+    """
+    values = [c for c in per_vector.columns if c not in ("vector", "copies")]
+    side = per_vector.select(F.col("vector").alias(vector), "copies", *values)
+    most = per_vector.agg(F.max("copies")).first()[0] or 0
+    if most <= hot:
+        return rows.join(side.drop("copies"), vector)
+    common = F.broadcast(side.filter(F.col("copies") > hot).select(F.col(vector).alias("_common"), *values))
+    marked = rows.join(common, F.col(vector) == F.col("_common"), "left")
+    rest = marked.filter(F.col("_common").isNull()).drop("_common", *values)
+    cold = side.filter(F.col("copies") <= hot).drop("copies")
+    return marked.filter(F.col("_common").isNotNull()).drop("_common").unionByName(rest.join(cold, vector))
+
+
 @dataclass
 class Tree:
     """k-d tree as arrays: split dimension (-1 = leaf), threshold, children or leaf number."""
@@ -352,7 +371,7 @@ def knn_pairs(df: DataFrame, key: str, vector: str, k: int, metric: str = "minko
         k + 1,
         space,
     )
-    owned = rows.join(vecs.select("vec_id", "vector"), "vector").select("_key", "vec_id")
+    owned = join_by_vector(rows, vecs, "vector").select("_key", "vec_id")
     # At most k+1 rows of one vector can be among anyone's neighbours.
     order = Window.partitionBy("vec_id").orderBy("_key")
     members = owned.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
@@ -415,7 +434,7 @@ class KNNDetector(Detector, KNNParams):
     def fit_transform(self, df: DataFrame) -> DataFrame:
         """Fit and score the same rows with one neighbour search."""
         model, scored = self._learn(df)
-        return model.attach(df, scored.select("vector", "scores"))
+        return model.attach(df, scored.select("vector", "copies", "scores"))
 
 
 class KNNModel(DetectorModel, KNNParams):
@@ -433,12 +452,12 @@ class KNNModel(DetectorModel, KNNParams):
         near = knn_search(vecs.select(F.col("vec_id").alias("query_id"), "vector"), self.refs, k, self.space)
         score = neighbour_score(distances(F.col("near"), k), self.value("method"))
         scores = vecs.join(near.select(F.col("query_id").alias("vec_id"), score.alias("scores")), "vec_id")
-        return self.attach(df, scores.select("vector", "scores"))
+        return self.attach(df, scores.select("vector", "copies", "scores"))
 
     def attach(self, df: DataFrame, scores: DataFrame) -> DataFrame:
         """Scores of distinct vectors back on the rows."""
         rows = in_space(self.with_vector(df, self.columns), VECTOR, self.space)
-        joined = rows.join(scores.withColumnRenamed("vector", VECTOR), VECTOR)
+        joined = join_by_vector(rows, scores, VECTOR)
         anomaly = (F.col("scores") > F.lit(self.border)).cast("int")
         return joined.select(*df.columns, "scores", anomaly.alias("anomaly"))
 

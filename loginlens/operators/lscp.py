@@ -12,7 +12,7 @@ from loginlens.functions.quantile import exact_quantile
 from loginlens.functions.scaling import standardise
 from loginlens.operators.detector import VECTOR, Detector, DetectorModel, load_detector
 from loginlens.operators.iforest import IsolationForestDetector, IsolationForestModel
-from loginlens.operators.knn import KNNDetector, KNNModel, Space, distinct_vectors, knn_search
+from loginlens.operators.knn import KNNDetector, KNNModel, Space, distinct_vectors, join_by_vector, knn_search
 from loginlens.session import materialise
 
 STANDARD = ["_a", "_b"]
@@ -121,11 +121,11 @@ class LSCPModel(DetectorModel, LSCPParams):
     def _transform(self, df: DataFrame) -> DataFrame:
         rows = self.with_vector(df, self.columns)
         distinct = distinct_vectors(rows.select(VECTOR), VECTOR)
-        members = self.member_scores(distinct.select(F.col("vec_id").alias("query_id"), F.col("vector").alias(VECTOR)))
+        members = self.member_scores(distinct.select(F.col("vec_id").alias("query_id"), F.col("vector").alias(VECTOR), "copies"))
         scaled = standardise(members, STANDARD, self.stats).withColumnRenamed(VECTOR, "vector")
-        scores = self.combine(materialise(scaled)).select(F.col("vector").alias(VECTOR), "scores")
+        scores = materialise(self.combine(materialise(scaled)).select("vector", "copies", "scores"))
         anomaly = (F.col("scores") > F.lit(float(self.border))).cast("int")
-        return rows.join(scores, VECTOR).select(*df.columns, "scores", anomaly.alias("anomaly"))
+        return join_by_vector(rows, scores, VECTOR).select(*df.columns, "scores", anomaly.alias("anomaly"))
 
     def state(self) -> dict[str, Any]:
         return {"stats": self.stats, "border": self.border}

@@ -10,6 +10,7 @@ from pyspark.sql.column import Column
 
 from loginlens.functions.timebin import utc_midnight
 from loginlens.schema import DEDUP_COLUMNS, LOGON_EVENT_CODE, view_column
+from loginlens.session import broadcast_if_bounded
 
 
 def keep_events(logons: DataFrame, event_code: int = LOGON_EVENT_CODE) -> DataFrame:
@@ -76,4 +77,4 @@ def add_activity(logons: DataFrame, extra: DataFrame) -> DataFrame:
 
 def _mark(logons: DataFrame, accounts: DataFrame) -> DataFrame:
     listed = accounts.select("account").distinct().withColumn("_hit", F.lit(True))
-    return logons.join(listed, "account", "left").withColumn("_listed", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return logons.join(broadcast_if_bounded(listed), "account", "left").withColumn("_listed", F.coalesce("_hit", F.lit(False))).drop("_hit")

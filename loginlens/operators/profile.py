@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loginlens.operators.rank import worst_first
 from loginlens.operators.sampling import rows_per_entity
 from loginlens.schema import KEY
+from loginlens.session import broadcast_if_bounded
 
 
 def top_entities(ranking: DataFrame, n: int = 50, score: str = "scores", higher_is_worse: bool = True) -> DataFrame:
@@ -38,12 +39,9 @@ def anomaly_profile(
 
     The sample is taken per entity before the marked rows are removed from it.
     """
-    own = rows_of(features, F.broadcast(entities) if _bounded(entities) else entities)
+    own = rows_of(features, broadcast_if_bounded(entities))
     drop = [c for c in ("day", *leave_out) if c in features.columns]
     outsider = own.join(marked.select(*KEY), KEY, "left_semi").withColumn("is_outsider", F.lit(True))
     insider = rows_not_in(rows_per_entity(own, rows, seed), marked).withColumn("is_outsider", F.lit(False))
     return insider.unionByName(outsider).drop(*drop)
 
-
-def _bounded(entities: DataFrame, most: int = 10_000) -> bool:
-    return entities.limit(most + 1).count() <= most

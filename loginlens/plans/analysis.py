@@ -23,7 +23,7 @@ from loginlens.operators.prep import clean
 from loginlens.operators.rank import flagged, rank, sort_by_score
 from loginlens.operators.stats import data_statistics
 from loginlens.schema import GROUP
-from loginlens.session import materialise
+from loginlens.session import stored
 
 DETECTORS: dict[str, type[Detector]] = {
     d.kind: d for d in (KNNDetector, IsolationForestDetector, MixtureEnergyDetector, LSCPDetector)
@@ -97,7 +97,7 @@ def features_of(logons: DataFrame, options: Options) -> DataFrame:
 def statistics_of(logons: DataFrame, options: Options) -> dict[str, dict[str, DataFrame]]:
     """Statistics tables before and after cleaning."""
     start, end = resolve_range(logons, options.span, options.start, options.end)
-    cleaned = clean(logons, options.ignore_accounts)
+    cleaned = stored(clean(logons, options.ignore_accounts), "clean")
     return {"pre": data_statistics(logons, start, end), "post": data_statistics(cleaned, start, end)}
 
 
@@ -146,7 +146,7 @@ def score_features(
 
 def _feature_table(table: DataFrame, options: Options) -> DataFrame:
     """Given features as they are; extracted ones are written once, since every later step reads them."""
-    return table if "number_events" in table.columns else materialise(features_of(table, options))
+    return table if "number_events" in table.columns else stored(features_of(table, options), "features")
 
 
 def find_anomalies(

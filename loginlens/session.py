@@ -67,6 +67,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written once as Parquet in the shared folder and read back, for tables with many readers."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast hint when a look at the table shows no more than ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint for a side whose row count is known and small; else leave it to the optimiser."""
     return F.broadcast(df) if rows <= max_rows else df
