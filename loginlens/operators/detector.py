@@ -117,10 +117,10 @@ def load_detector(path: str, kind: str | None = None) -> DetectorModel:
     spark = SparkSession.active()
     metadata = json.loads(spark.read.text(f"{path}/metadata", wholetext=True).first()["value"])
     if kind is not None and metadata["kind"] != kind:
-        raise ValueError(f"the model in {path} is {metadata['method']}, not {kind}")
+        raise ValueError(f"the model in {path} is {metadata['kind']}, not {kind}")
     cls = DetectorModel.registry.get(metadata["kind"])
     if cls is None:
-        raise ValueError(f"no detector is registered as {metadata['method']}")
+        raise ValueError(f"no detector is registered as {metadata['kind']}")
     model = cls.__new__(cls)
     super(DetectorModel, model).__init__()
     model._set(**metadata["params"])

@@ -30,8 +30,9 @@ from loginlens.operators.distances import build_metric
 from loginlens.schema import with_field
 from loginlens.session import materialise
 
-BLOCK_ROWS = 4096  # reference vectors per block
-CHUNK_ROWS = 8192  # queries that meet a block in one task
+BLOCK_ROWS = 1024  # reference vectors per block
+SINGLE_ROWS = 8 * BLOCK_ROWS  # up to here one block is enough
+CHUNK_ROWS = 2048  # queries that meet a block in one task
 MAX_BLOCKS = 20_000  # beyond this, blocks grow instead
 SAMPLE_PER_BLOCK = 32
 STEP_ROWS = 256  # queries compared at once
@@ -178,9 +179,9 @@ class Blocks:
         self.rows = refs.count()
         dims = refs.select(F.size("vector").alias("d")).first()
         self.dims = dims["d"] if dims else 0
+        self.single = self.rows <= SINGLE_ROWS * block_rows // BLOCK_ROWS
         block_rows = max(block_rows, math.ceil(self.rows / MAX_BLOCKS))
         wanted = SAMPLE_PER_BLOCK * math.ceil(self.rows / block_rows)
-        self.single = self.rows <= 2 * block_rows
         if self.single:
             self.table = self.place(refs)
             return
