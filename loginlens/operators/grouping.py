@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loginlens.operators.normalise import entity_means
 from loginlens.schema import GROUP
-from loginlens.session import broadcast_if_small, materialise
+from loginlens.session import broadcast_if_small, few_partitions, materialise
 
 VECTOR = "_vector"
 
@@ -71,9 +71,9 @@ def fit_groups(means: DataFrame, k: int = 13, seed: int = 123, restarts: int = 5
         n = vectors.count()
         if n < 2:
             raise ValueError("grouping needs at least two entities")
-        best = None
+        packed, best = few_partitions(vectors, n), None
         for start in range(restarts):
-            model = KMeans(k=min(k, n), seed=seed + start, maxIter=max_iter, featuresCol=VECTOR).fit(vectors)
+            model = KMeans(k=min(k, n), seed=seed + start, maxIter=max_iter, featuresCol=VECTOR).fit(packed)
             if best is None or model.summary.trainingCost < best.summary.trainingCost:
                 best = model
         return GroupModel(best, columns)

@@ -87,6 +87,20 @@ class IsolationForestDetector(Detector, IsolationParams):
 
     def _fit(self, df: DataFrame) -> "IsolationForestModel":
         rows = self.with_vector(df)
+        model = self._plant(df, rows)
+        model.offset = exact_quantile(model.raw_scores(rows.select(VECTOR)), "scores", self.value("contamination"))
+        return model
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Fit and score the same rows, sending them past the trees once."""
+        rows = self.with_vector(df)
+        model = self._plant(df, rows)
+        raw = materialise(model.raw_scores(rows).drop(VECTOR))
+        model.offset = exact_quantile(raw, "scores", self.value("contamination"))
+        return model.judge(raw, df.columns)
+
+    def _plant(self, df: DataFrame, rows: DataFrame) -> "IsolationForestModel":
+        """The forest without its threshold."""
         shape = rows.agg(F.count("*").alias("n"), F.max(F.size(VECTOR)).alias("d")).first()
         if not shape["n"]:
             raise ValueError("no rows to fit on")
@@ -95,12 +109,8 @@ class IsolationForestDetector(Detector, IsolationParams):
         if samples > MAX_TREE_ROWS:
             raise ValueError(f"{samples} rows per tree exceed what one task may hold ({MAX_TREE_ROWS}); lower max_samples")
         features = max(1, int(self.value("max_features") * shape["d"]))
-        seed = self.value("random_state") or 0
-        nodes = materialise(self._grow(rows, shape["n"], samples, features, seed))
-        model = IsolationForestModel(self, self.columns_of(df), nodes, samples)
-        raw = model.raw_scores(rows.select(VECTOR))
-        model.offset = exact_quantile(raw, "scores", self.value("contamination"))
-        return model
+        nodes = materialise(self._grow(rows, shape["n"], samples, features, self.value("random_state") or 0))
+        return IsolationForestModel(self, self.columns_of(df), nodes, samples)
 
     def _grow(self, rows: DataFrame, n: int, samples: int, features: int, seed: int) -> DataFrame:
         key = [F.col(c) for c in self.value("keyCols")]
@@ -203,9 +213,12 @@ class IsolationForestModel(DetectorModel, IsolationParams):
         return rows.mapInArrow(score, rows.schema)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        raw = self.raw_scores(self.with_vector(df, self.columns))
+        return self.judge(self.raw_scores(self.with_vector(df, self.columns)), df.columns)
+
+    def judge(self, raw: DataFrame, columns: list[str]) -> DataFrame:
+        """Scores relative to the threshold, and -1 for rows below it."""
         scores = F.col("scores") - F.lit(float(self.offset))
-        return raw.select(*df.columns, scores.alias("scores"), F.when(scores < 0, -1).otherwise(1).cast("int").alias("anomaly"))
+        return raw.select(*columns, scores.alias("scores"), F.when(scores < 0, -1).otherwise(1).cast("int").alias("anomaly"))
 
     def state(self) -> dict[str, Any]:
         return {"samples": self.samples, "offset": self.offset}

@@ -24,6 +24,7 @@ from loginlens.functions.quantile import exact_quantile
 from loginlens.operators.detector import VECTOR, Detector, DetectorModel
 from loginlens.operators.knn import as_lists, matrix
 from loginlens.schema import GROUP, with_field
+from loginlens.session import few_partitions, materialise
 
 # Floor added to norms, and to the covariance diagonal.
 NORM_FLOOR = 1e-3
@@ -89,6 +90,19 @@ class MixtureEnergyDetector(Detector, EnergyParams):
         return {"components": 4, "compressed": 2, "max_iter": 20, "level": 0.9999, "random_seed": 123}
 
     def _fit(self, df: DataFrame) -> "MixtureEnergyModel":
+        model = self._learn(df)
+        model.border = exact_quantile(model.energies(df).select("scores"), "scores", self.value("level"))
+        return model
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Fit and score the same rows, computing their energies once."""
+        model = self._learn(df)
+        scored = materialise(model.energies(df).drop(VECTOR))
+        model.border = exact_quantile(scored, "scores", self.value("level"))
+        return model.judge(scored, df.columns)
+
+    def _learn(self, df: DataFrame) -> "MixtureEnergyModel":
+        """Scaling, encoder and mixture; the threshold is still missing."""
         names = self.columns_of(df)
         groups: list[int] = []
         if GROUP in names:
@@ -96,12 +110,14 @@ class MixtureEnergyDetector(Detector, EnergyParams):
         model = MixtureEnergyModel(self, names, groups)
         rows = model.encode_group(self.with_vector(df, names)).select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            dims = rows.select(F.size(VECTOR).alias("d")).first()["d"]
-            at = [F.get(VECTOR, F.lit(j)) for j in range(dims)]
+            shape = rows.agg(F.count("*").alias("n"), F.max(F.size(VECTOR)).alias("d")).first()
+            if not shape["n"]:
+                raise ValueError("no rows to fit on")
+            at = [F.get(VECTOR, F.lit(j)) for j in range(shape["d"])]
             stats = rows.agg(*[F.avg(c) for c in at], *[F.stddev_pop(c) for c in at]).first()
-            model.centre, model.spread = list(stats[:dims]), list(stats[dims:])
-            scaled = model.scale(rows)
-            keep = min(self.value("compressed"), dims)
+            model.centre, model.spread = list(stats[: len(at)]), list(stats[len(at) :])
+            scaled = few_partitions(model.scale(rows), shape["n"])
+            keep = min(self.value("compressed"), len(at))
             pca = PCA(k=keep, inputCol="v", outputCol="z").fit(scaled.select(array_to_vector(VECTOR).alias("v")))
             model.axes = pca.pc.toArray().tolist()
             latent = model.compress(scaled).select(array_to_vector("_latent").alias("features"))
@@ -111,7 +127,6 @@ class MixtureEnergyDetector(Detector, EnergyParams):
             model.weights = list(mixture.weights)
             model.means = [g.mean.toArray().tolist() for g in mixture.gaussians]
             model.covariances = [r["cov"].toArray().tolist() for r in mixture.gaussiansDF.select("cov").collect()]
-            model.border = exact_quantile(model.score(scaled), "scores", self.value("level"))
         finally:
             rows.unpersist()
         return model
@@ -170,9 +185,14 @@ class MixtureEnergyModel(DetectorModel, EnergyParams):
         return latent.mapInArrow(energy, with_field(scaled.schema, "scores", T.DoubleType()))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        scored = self.score(self.scale(self.encode_group(self.with_vector(df, self.columns))))
+        return self.judge(self.energies(df), df.columns)
+
+    def energies(self, df: DataFrame) -> DataFrame:
+        return self.score(self.scale(self.encode_group(self.with_vector(df, self.columns))))
+
+    def judge(self, scored: DataFrame, columns: list[str]) -> DataFrame:
         anomaly = (F.col("scores") >= F.lit(float(self.border))).cast("int")
-        return scored.select(*df.columns, "scores", anomaly.alias("anomaly"))
+        return scored.select(*columns, "scores", anomaly.alias("anomaly"))
 
     def state(self) -> dict[str, Any]:
         return {name: getattr(self, name) for name in self.STATE}

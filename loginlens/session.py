@@ -75,6 +75,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_partitions(df: DataFrame, rows: int, rows_per_partition: int = 50_000) -> DataFrame:
+    """No more partitions than the rows are worth, for algorithms that run many short jobs."""
+    return df.coalesce(max(1, -(-rows // rows_per_partition)))
+
+
 def broadcast_if_bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
     """Broadcast hint when a look at the table shows no more than ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
