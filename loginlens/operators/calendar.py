@@ -27,9 +27,15 @@ def daily_timeline(logons: DataFrame, start: dt.date | str, end: dt.date | str,
 
 
 def _zero_fill(counts: DataFrame, step: str) -> DataFrame:
-    bounds = counts.agg(F.min("period").alias("lo"), F.max("period").alias("hi")).filter("lo is not null")
-    calendar = bounds.select(F.explode(F.sequence("lo", "hi", F.expr(step))).alias("period"))
-    return calendar.join(counts, "period", "left").select("period", F.coalesce("count", F.lit(0)).alias("count"))
+    """Periods without events as zeros. The counts, one per period, travel in one row, so events are read once."""
+    whole = counts.agg(
+        F.map_from_entries(F.collect_list(F.struct("period", "count"))).alias("counts"),
+        F.min("period").alias("lo"),
+        F.max("period").alias("hi"),
+    ).filter(F.col("lo").isNotNull())
+    calendar = whole.select("counts", F.explode(F.sequence("lo", "hi", F.expr(step))).alias("period"))
+    found = F.coalesce(F.try_element_at("counts", F.col("period")), F.lit(0).cast("long"))
+    return calendar.select("period", found.alias("count"))
 
 
 def busy_range(timeline: DataFrame) -> DataFrame:
