@@ -1,3 +1,10 @@
 """Logon anomaly analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to executors carry their code along, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
