@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import bpe, decontam, shard, warc
+from loginlens.llm import bpe, decontam, shard, simhash, suffix, warc
 from loginlens.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return found.select(F.col("key").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -85,6 +90,18 @@ def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_decontamination, op4_warc, op6_byte_bpe, op9_rendezvous)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix.remove_repeats(docs, length=200)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_warc, op6_byte_bpe, op9_rendezvous, op10_suffix_array)}
 
 ORACLES: dict[str, str] = {}
