@@ -19,13 +19,15 @@ from pyspark.sql import types as T
 
 from loginlens.llm.common import INVERSE, byte_values, delete_stored, mix64, powers, prefix_hash, stored, text_slices
 
-GRAM = 40
+#: Lengths of the hashed grams: the first names the anchors in texts; the others, in pieces of crowded anchors.
+GRAMS = (40, 160, 190)
 #: Window starts that are hashed at once; longer texts are taken in such parts.
 PART_BYTES = 2 << 20
 POSITION_BITS = 24
 #: Bytes of pieces that one transform covers.
 BLOCK_BYTES = 1 << 18
-#: Different pieces of one anchor that one transform may hold; windows of more crowded anchors are counted one by one.
+#: Different pieces of one anchor that one transform may hold. The pieces of more crowded anchors are cut anew, by
+#: anchors of longer grams; what is crowded even then is counted window by window.
 ANCHOR_PIECES = 500
 
 PIECES = "k long, n long, anchor long, piece long, first long, last long"
@@ -215,9 +217,9 @@ def _by_window(pieces: DataFrame, length: int) -> DataFrame:
     return windows.join(often, "window").select("anchor", "piece", "lo", F.col("lo").alias("hi"))
 
 
-def repeated_spans(texts: DataFrame, length: int, gram: int = GRAM, anchor_pieces: int = ANCHOR_PIECES) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int, grams: tuple[int, ...] = GRAMS, anchor_pieces: int = ANCHOR_PIECES) -> DataFrame:
     """(k, n, spans): for texts (k, n, text) the byte ranges of repeated windows, which may overlap."""
-    pieces = stored(_all_pieces(texts, length, gram), "pieces")
+    pieces = stored(_all_pieces(texts, length, min(grams[0], length)), "pieces")
     twice = stored(pieces.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "anchors")
     matched = stored(pieces.join(twice, "anchor"), "matched")
     delete_stored(pieces)
@@ -226,7 +228,15 @@ def repeated_spans(texts: DataFrame, length: int, gram: int = GRAM, anchor_piece
     kinds = stored(variants.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     wanted = variants.join(kinds, "anchor").select("anchor", "piece", (F.col("kinds") > anchor_pieces).alias("crowded"), "one.*")
     cut = stored(_piece_texts(texts, wanted, length), "cut")
-    found = _by_transform(cut.filter("not crowded"), length).unionByName(_by_window(cut.filter("crowded"), length))
+    found = _by_transform(cut.filter("not crowded"), length)
+    crowded = cut.filter("crowded")
+    if not crowded.isEmpty():
+        if len(grams) > 1:
+            again = crowded.select(F.col("anchor").alias("k"), F.col("piece").alias("n"), F.col("bytes").alias("text"))
+            inside = repeated_spans(again, length, grams[1:], anchor_pieces).select(F.col("k").alias("anchor"), F.col("n").alias("piece"), F.explode("spans").alias("s"))
+            found = found.unionByName(inside.select("anchor", "piece", F.col("s.start").alias("lo"), (F.col("s.end") - length).alias("hi")))
+        else:
+            found = found.unionByName(_by_window(crowded, length))
     once = variants.filter("copies = 1").join(stored(found, "found"), ["anchor", "piece"])
     parts = once.select("one.k", "one.n", (F.col("one.first") + F.col("lo")).alias("start"), (F.col("one.first") + F.col("hi") + length).alias("end"))
     copied = stored(variants.filter("copies > 1").select("anchor", "piece"), "copied")
