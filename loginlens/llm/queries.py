@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import bpe, decontam, shard, simhash, suffix, warc
+from loginlens.llm import ann, bpe, decontam, quality, shard, simhash, suffix, warc
 from loginlens.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
+ACCEPTED_SCORE = 0.3
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
 
 
+def op2_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = ann.nearest_by_inner_product(rows, rows.filter("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -67,6 +74,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(resolved)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.add_scores(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPTED_SCORE).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -102,6 +116,6 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_warc, op6_byte_bpe, op9_rendezvous, op10_suffix_array)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op9_rendezvous, op10_suffix_array)}
 
 ORACLES: dict[str, str] = {}
