@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import ann, bpe, decontam, lines, quality, shard, simhash, suffix, warc
+from loginlens.llm import ann, bpe, decontam, lines, pii, quality, shard, simhash, suffix, warc
 from loginlens.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.fit(docs), keep=["doc_id"])
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.deduplicate_lines(docs).select("doc_id", "lines", "lines_removed", "text")
@@ -121,6 +132,6 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op8_line_dedup, op9_rendezvous, op10_suffix_array)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array)}
 
 ORACLES: dict[str, str] = {}
