@@ -271,7 +271,12 @@ def nearest_by_inner_product(
                             continue
                         which = rows[q, c]
                         score = np.cumsum(v[s][q] * block.vectors[which], axis=1)[:, -1]
-                        columns = [ids[s][q], block.ids[which], score, apart[q, c]]
+                        # The spare rows have settled near-equal scores; what is beyond the limit is no answer either.
+                        order = np.lexsort((block.ids[which], -score, q))
+                        first = np.searchsorted(q[order], q[order])
+                        order = order[np.arange(len(order)) - first <= k]
+                        order = order[apart[q, c][order] <= limit[s][q[order]] * (1 + 1e-9) + 1e-9]
+                        columns = [x[order] for x in (ids[s][q], block.ids[which], score, apart[q, c])]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query", "id", "score", "apart"])
 
         return grouped.mapInArrow(run, found_rows)
