@@ -307,11 +307,20 @@ def test_line_fingerprints(spark, monkeypatch):
         of = [hashes[w] & (1 << 64) - 1 for w in t.split()]
         code = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in of) > len(of))
         assert whole[i] & (1 << 64) - 1 == code
-    monkeypatch.setattr(lines, "PART_BITS", 4)
+    monkeypatch.setattr(lines, "PART", 16)
     parts = {r["pos"]: r["code"] for r in lines.fingerprinted_lines(frame(spark, ["\n".join(texts)]), "doc_id", "text", 5).collect()}
     assert parts == whole
 
 
+def test_repeated_rows_count_once(spark):
+    short, long = "one two three", " ".join(f"word{i}" for i in range(200))
+    df = frame(spark, [f"{short}\n{long}"])
+    once, thrice = lines.fingerprinted_lines(df, "doc_id", "text", 5), lines.fingerprinted_lines(df.union(df).union(df), "doc_id", "text", 5)
+    assert once.count() == 1 and thrice.distinct().collect() == once.collect()
+    got = lines.deduplicate_lines(df.union(df)).collect()
+    assert [(r["text"], r["lines_removed"]) for r in got] == [(f"{short}\n{long}", 0)] * 2
+
+
 def test_similar_lines_share_a_group(spark):
     rng = random.Random(12)
     base = [f"{rng.choice(WORDS)}{i}" for i in range(200)]
