@@ -253,11 +253,12 @@ def altered_entities(rng: random.Random) -> tuple[str, int]:
 def train(parts: list[str], rounds: int = ROUNDS, altered: int = ALTERED) -> SpanModel:
     """Maximum conditional likelihood by gradient steps over the segments' marginal probabilities.
 
-    Half of the examples are the parts as they are, with their fixed-pattern spans as entities. The others are parts
-    with an altered entity put between two words. Numbers that are no entities are added as counterexamples.
+    Some of the examples are the parts as they are, with their fixed-pattern spans as entities. Parts without such spans
+    are left out: what the patterns miss in them would count as no entity, though it is what the model shall find. The
+    other examples are parts with an altered entity, or a number that is none, put between two words.
     """
     rng = random.Random(SEED)
-    examples: list[tuple[str, list[tuple[int, int, int]]]] = [(p, base_spans(p)) for p in parts]
+    examples: list[tuple[str, list[tuple[int, int, int]]]] = [(p, base_spans(p)) for p in parts if base_spans(p)]
     filler = [p for p in parts if not base_spans(p) and not stretches(p)] or ["The report was sent on time and the answer came back late"]
     number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     for i in range(altered):
@@ -330,10 +331,13 @@ def fit(df: DataFrame, text: str = "text", rows: int = STRETCHES) -> SpanModel:
 
     The texts are chosen by the smallest hashes, so the same table always gives the same model.
     """
-    chosen = df.select(F.col(text).alias("text")).filter(F.length("text") > 0).withColumn("marked", F.col("text").rlike("[0-9@]"))
+    texts = df.select(F.col(text).alias("text")).filter(F.length("text") > 0)
+    hashed = texts.select("text", F.xxhash64("text").alias("h"), F.col("text").rlike("[0-9@]").alias("marked"))
     parts = []
     for marked in (True, False):
-        few = chosen.filter(F.col("marked") == marked).select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(rows // 2)
+        # Only hashes are sorted; the few texts they stand for are then read again, one copy of each.
+        least = [r["h"] for r in hashed.filter(F.col("marked") == marked).select("h").distinct().orderBy("h").limit(rows // 2).collect()]
+        few = hashed.filter((F.col("marked") == marked) & F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
