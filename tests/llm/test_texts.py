@@ -333,6 +333,46 @@ def test_similar_lines_share_a_group(spark):
     assert sum(r["text"] != "" for r in got) <= 8 and next(r for r in got if r["doc_id"] == 0)["text"] == variants[0]
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.7, 0.9])
+def test_all_similar_lines_are_linked(spark, similarity):
+    rng = random.Random(14)
+    found = []
+    for n in [*range(5, 24), 30, 41, 50, 60] * 3:
+        line = [f"{rng.choice(WORDS)}{rng.choice('abcdefghij')}" for _ in range(n)]
+        found.append(line)
+        for share in (0.1, 0.2, 0.25, 0.3):
+            changed = list(line)
+            for _ in range(max(1, round(share * n))):
+                at, what = rng.randrange(len(changed)), rng.randrange(4)
+                changed[at : at + 1] = [["new" + rng.choice("abcdefgh")], ["new" + rng.choice("abcdefgh")], [], [changed[at], "more"]][what]
+            found.append(changed)
+    found = [x for x in {" ".join(x): x for x in found}.values() if len(x) >= 5]
+    similar = lambda a, b: abs(len(a) - len(b)) <= 15 and word_edits(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+    parent = list(range(len(found)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(found)):
+        for j in range(i):
+            if root(i) != root(j) and similar(found[i], found[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    got = lines.deduplicate_lines(frame(spark, [" ".join(x) for x in found]), similarity=similarity).collect()
+    assert {r["doc_id"] for r in got if r["text"]} == {root(i) for i in range(len(found))}
+
+
 # Quality
 
 
