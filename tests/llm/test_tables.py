@@ -231,3 +231,15 @@ def test_pipeline_stages_with_odd_rows(spark, tmp_path):
     kept = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, schema), SF).select("doc_id").collect()
     assert sorted((r["doc_id"] for r in kept), key=lambda x: (x is None, x)) == [1, 3, None]
     assert F is not None
+
+
+def test_near_copies_without_or_with_equal_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    a, b, c, d, e, f, g = (" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(1000)}" for _ in range(40)) for _ in range(7))
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, d), (1, d), (2, e), (2, f), (3, f), (4, g), (4, g), (4, a.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()
+    expected = [(None, b), (None, c), (1, d), (2, e), (2, f), (4, g), (4, a.upper())]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, expected))
