@@ -373,6 +373,20 @@ def test_all_similar_lines_are_linked(spark, similarity):
     assert {r["doc_id"] for r in got if r["text"]} == {root(i) for i in range(len(found))}
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    rng = random.Random(16)
+    script = lambda first, n: "".join(chr(first + rng.randrange(40)) for _ in range(n))
+    chinese, thai, kana = script(0x4E00, 40), script(0x0E01, 40), script(0x3041, 30)
+    texts = [
+        f"All rights reserved\n{chinese}\nyes\n{thai}",
+        f"all rights reserved.\n{chinese[:20]}{chr(0x8000)}{chinese[21:]}\nyes\n{kana}",
+        f"all rights granted\n{script(0x4E00, 40)}\n----------------\n{thai[1:]}",
+        f"----------------\n{kana[:29]}\n{kana[:15]}",
+    ]
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: f"yes\n{kana}", 2: texts[2].rsplit("\n", 1)[0], 3: f"----------------\n{kana[:15]}"}
+
+
 # Quality
 
 
