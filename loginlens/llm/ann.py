@@ -31,8 +31,9 @@ SAMPLE_ROWS = 20_000
 MOST_BLOCKS = 4096
 LEAF_ROWS = 64
 QUERIES_AT_ONCE = 128
-#: Near-equal approximate scores are settled among so many more than the rows asked for.
-SPARE = 8
+#: Distances differ by rounding in less than this share of the squared lengths; rows so near to the last place are kept,
+#: however many they are, until scores and ids settle it.
+ROUNDING = 1e-11
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -110,14 +111,14 @@ class Block:
             todo += [rows[half:], rows[:half]]
         return np.concatenate(done)
 
-    def nearest(self, lifted: np.ndarray, projected: np.ndarray, limit: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, squared distances) of the k nearest found (and some spare) for each query, -1 and infinity for none.
+    def nearest(self, lifted: np.ndarray, projected: np.ndarray, limit: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position of the query, row, squared distance) of the k nearest found for each query and all that tie with the last.
 
         ``limit``: squared distance of the k-th best known from elsewhere. ``reach``: chi-square quantile of the test.
         The leaves nearest in projection are verified first; then the rows of all other leaves whose projected distance
         the test, with the k-th distance so far, still admits.
         """
-        n, top = len(lifted), k + SPARE
+        n = len(lifted)
         gaps = np.maximum(0, np.maximum(self.low[None] - projected[:, None], projected[:, None] - self.high[None]))
         away = (gaps**2).sum(axis=2)
         first = min(len(self.starts), -(-2 * k // LEAF_ROWS))
@@ -129,16 +130,14 @@ class Block:
         leaves = np.flatnonzero((away <= border[:, None]).any(axis=0))
         rows = self.members[leaves].ravel()
         rows = rows[rows >= 0]
-        if not len(rows):
-            return np.full((n, top), -1), np.full((n, top), np.inf)
         apart = self._distances(self.lifted[rows], lifted)
         apart[self._distances(self.points[rows], projected) > border[:, None]] = np.inf
-        if len(rows) > top:
-            best = np.argpartition(apart, top - 1, axis=1)[:, :top]
+        if len(rows) > k:
+            last = np.partition(apart, k - 1, axis=1)[:, k - 1]
         else:
-            best = np.broadcast_to(np.arange(len(rows)), (n, len(rows)))
-        apart = np.take_along_axis(apart, best, axis=1)
-        return np.where(np.isfinite(apart), rows[best], -1), apart
+            last = np.full(n, np.inf)
+        q, c = np.nonzero(np.isfinite(apart) & (apart <= (last + ROUNDING * (lifted**2).sum(axis=1))[:, None]))
+        return q, rows[c], apart[q, c]
 
     @staticmethod
     def _distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -265,18 +264,16 @@ def nearest_by_inner_product(
                     block = block or Block(*(np.concatenate(x) for x in zip(*held)))
                     for at in range(0, len(ids), QUERIES_AT_ONCE):
                         s = slice(at, at + QUERIES_AT_ONCE)
-                        rows, apart = block.nearest(lift(v[s], True), p[s], limit[s], k + 1, reach)
-                        q, c = np.nonzero(rows >= 0)
+                        q, which, apart = block.nearest(lift(v[s], True), p[s], limit[s], k + 1, reach)
                         if not len(q):
                             continue
-                        which = rows[q, c]
                         score = np.cumsum(v[s][q] * block.vectors[which], axis=1)[:, -1]
-                        # The spare rows have settled near-equal scores; what is beyond the limit is no answer either.
+                        # Scores and ids settle what is equal but for rounding; what is beyond the limit is no answer either.
                         order = np.lexsort((block.ids[which], -score, q))
                         first = np.searchsorted(q[order], q[order])
                         order = order[np.arange(len(order)) - first <= k]
-                        order = order[apart[q, c][order] <= limit[s][q[order]] * (1 + 1e-9) + 1e-9]
-                        columns = [x[order] for x in (ids[s][q], block.ids[which], score, apart[q, c])]
+                        order = order[apart[order] <= limit[s][q[order]] * (1 + 1e-9) + 1e-9 + ROUNDING * longest]
+                        columns = [x[order] for x in (ids[s][q], block.ids[which], score, apart)]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query", "id", "score", "apart"])
 
         return grouped.mapInArrow(run, found_rows)

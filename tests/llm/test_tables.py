@@ -69,6 +69,18 @@ def test_neighbours(spark):
     assert twins == sorted(twins) and 120 not in twins
 
 
+def test_ties_at_the_last_place(spark):
+    rng = np.random.default_rng(2)
+    # All of one length: the query, then 15 better rows, then copies of one vector and rows with equal products.
+    rows = [[4.0, 0.0, 0.0, 0.0]] + [[3.0, *x] for x in ([2.0, 1.0, 1.0], [1.0, 2.0, 1.0], [1.0, 1.0, 2.0], [-2.0, 1.0, 1.0], [1.0, -2.0, 1.0])] * 3
+    rows += [[2.0, 2.0, 2.0, 2.0]] * 40 + [[2.0, *rng.permutation([a, b, c])] for a in (2.0, -2.0) for b in (2.0, -2.0) for c in (2.0, -2.0)] * 5
+    rows += [[0.0, *x] for x in rng.normal(size=(300, 3))]
+    ids = rng.permutation(len(rows)).tolist()
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, rows)], "vec_id long, embedding array<double>")
+    got = ann.nearest_by_inner_product(df, df.filter(F.col("vec_id") == ids[0]), k=20).orderBy("rank").collect()
+    assert [r["id"] for r in got] == exact(ids, np.array(rows), 20)[ids[0]]
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = ann.nearest_by_inner_product(df, df.filter("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect()
