@@ -387,6 +387,12 @@ def test_short_lines_and_scripts_without_spaces(spark):
     assert got == {0: texts[0], 1: f"yes\n{kana}", 2: texts[2].rsplit("\n", 1)[0], 3: f"----------------\n{kana[:15]}"}
 
 
+def test_lines_of_different_figures_stay(spark):
+    texts = ["12 34 56 78 90", "98 76 54 32 10", "12, 34, 56, 78, 90", "12 34 56 78 91", "took 17 of 29 in 31", "took 45 of 68 in 99"]
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: "", 3: "", 4: texts[4], 5: texts[5]}
+
+
 # Quality
 
 
