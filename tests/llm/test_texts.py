@@ -373,6 +373,14 @@ def test_all_similar_lines_are_linked(spark, similarity):
     assert {r["doc_id"] for r in got if r["text"]} == {root(i) for i in range(len(found))}
 
 
+def test_lines_in_passes(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [[f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(20)] for _ in range(40)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:i % 17], "other", *x[i % 17 + 3 :]]) for i, x in enumerate(base)]
+    monkeypatch.setattr(lines, "PASS_WORDS", 100)
+    assert {r["doc_id"] for r in lines.deduplicate_lines(frame(spark, texts)).collect() if r["text"]} == set(range(40))
+
+
 def test_short_lines_and_scripts_without_spaces(spark):
     rng = random.Random(16)
     script = lambda first, n: "".join(chr(first + rng.randrange(40)) for _ in range(n))
