@@ -45,6 +45,8 @@ SEED = 5
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
 AT = re.compile(r"(?:@|[\[({<]\s?at\s?[\])}>]|\bat\b)", re.I)
 WRITTEN = re.compile(r"[\w.%+-]+\s?(?:[\[({<]\s?at\s?[\])}>]\s?[\w-]+|\bat\b\s?[\w-]+\s?(?:[\[({<]\s?dot\s?[\])}>]|\bdot\b))", re.I)
+#: A part of whatever WRITTEN matches, besides "dot", in lower case.
+CLOSED_AT = re.compile(r"at\s?[\])}>]")
 TRIGGER = re.compile(rf"@|[0-9](?:[^\n]{{0,3}}[0-9]){{{LEAST_DIGITS - 1},}}|[0-9]{{1,3}}(?:[^\w\n]{{1,5}}[0-9]{{1,3}}){{3}}")
 
 
@@ -82,7 +84,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text around anything that may belong to an entity; outside of them no segment is a candidate."""
     marks = [m.span() for m in TRIGGER.finditer(text)] if "@" in text or SOME_DIGIT.search(text) else []
     lowered = text.lower()
-    if "dot" in lowered or "at]" in lowered or "at)" in lowered or "at}" in lowered or "at>" in lowered:
+    if "dot" in lowered or CLOSED_AT.search(lowered):
         marks += [m.span() for m in WRITTEN.finditer(text)]
     out: list[list[int]] = []
     for a, b in sorted(marks):

@@ -463,5 +463,11 @@ def test_spans(spark):
     assert pii.find_personal_data(df.limit(0), pii.fit(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("at", ["[at]", "( at )", "[ at ]", "{AT }", "< at>", "(\u00a0At\n)"])
+def test_written_addresses_make_stretches(at):
+    for text in (f"write to jane {at} example.com", f"jane{at}example.com"):
+        assert pii.WRITTEN.search(text) and pii.stretches(text)
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and base64.b64encode(b"") == b""
