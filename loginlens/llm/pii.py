@@ -36,7 +36,7 @@ LEAST_DIGITS = 7
 MARGIN = 48
 #: A segment is added if the best cut with it beats the best one without it by so much (log odds).
 ADDED_ODDS = 3.0
-#: Stretches of the corpus that the model is trained on at most.
+#: Texts of the corpus whose stretches the model is trained on, at most.
 STRETCHES = 240
 ALTERED = 320
 ROUNDS = 12
@@ -328,51 +328,25 @@ def train(parts: list[str], rounds: int = ROUNDS, altered: int = ALTERED) -> Spa
     return model
 
 
-def least_matched(hashed: DataFrame, most: int) -> list[int]:
-    """The smallest hashes (at most ``most``) of texts with fixed-pattern spans, from (text, h).
-
-    Only texts with hashes up to a bound are searched; the bound is raised until there are enough, or all are searched.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [bool(base_spans(t.as_py())) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(found, pa.bool_()))], names=["h"])
-
-    least: list[int] = []
-    for share in (6, 3, 0):
-        some = hashed.filter(F.col("h") <= F.lit(-(1 << 63) + (1 << (64 - share)) - 1)).filter(F.col("text").rlike("[0-9@]"))
-        least = [r["h"] for r in some.mapInArrow(run, "h long").distinct().orderBy("h").limit(most).collect()]
-        if len(least) == most:
-            break
-    return least
-
-
 def fit(df: DataFrame, text: str = "text", rows: int = STRETCHES) -> SpanModel:
-    """The model, trained on stretches of at most ``rows`` texts: half with fixed matches, half without digits or at signs.
+    """The model, trained on stretches of at most ``rows`` texts: half with digits or at signs, half without.
 
     The texts are chosen by the smallest hashes, so the same table always gives the same model.
     """
     texts = df.select(F.col(text).alias("text")).filter(F.length("text") > 0)
-    hashed = texts.select("text", F.xxhash64("text").alias("h"))
-    plain = ~F.col("text").rlike("[0-9@]")
+    hashed = texts.select("text", F.xxhash64("text").alias("h"), F.col("text").rlike("[0-9@]").alias("marked"))
     parts = []
-    for matched in (True, False):
+    for marked in (True, False):
         # Only hashes are sorted; the few texts they stand for are then read again, one copy of each.
-        if matched:
-            least = least_matched(hashed, rows // 2)
-        else:
-            least = [r["h"] for r in hashed.filter(plain).select("h").distinct().orderBy("h").limit(rows // 2).collect()]
-        few = hashed.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
+        least = [r["h"] for r in hashed.filter(F.col("marked") == marked).select("h").distinct().orderBy("h").limit(rows // 2).collect()]
+        few = hashed.filter((F.col("marked") == marked) & F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], matched: bool = matched) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for t in batch.column(0):
                     t = t.as_py()
-                    found = [t[a:b] for a, b in stretches(t)]
-                    # Of a text with fixed matches, the stretches that hold them.
-                    out += [x for x in found if base_spans(x)][:4] if matched else found[:4] or [t[:200]]
+                    out += [t[a:b] for a, b in stretches(t)[:4]] or [t[:200]]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["part"])
 
         parts += [r["part"] for r in few.select("text").mapInArrow(run, "part string").limit(2 * rows).collect()]
