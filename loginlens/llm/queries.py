@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import ann, bpe, decontam, lines, pii, quality, shard, simhash, suffix, warc
+from loginlens.llm import ann, bpe, decontam, fim, lines, pii, quality, shard, simhash, suffix, warc
 from loginlens.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,41 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("fim.units").alias("n"),
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array, op11_fill_in_middle)}
+
+ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), drawn AS (
+            SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS u, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS v,
+                   ('0x' || substr(h, 17, 8))::BIGINT % 100 AS p, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS s
+            FROM texts
+        ), cut AS (
+            SELECT *, least(u, v) AS a, greatest(u, v) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain'
+                        WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ), parts AS (
+            SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
+}

@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,7 @@ CONTRACTS = {
     "op8_line_dedup": ["doc_id", "lines", "lines_removed", "text"],
     "op9_rendezvous": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10_suffix_array": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op11_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 
@@ -211,7 +213,7 @@ def test_query_against_sql(spark, results, name):
     expected = con.execute(queries.ORACLES[name]).df()
     found = run(spark, results, name)[list(expected.columns)]
     key = expected.columns[0]
-    as_text = lambda df: [tuple(None if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df.sort_values(key).itertuples(index=False)]
+    as_text = lambda df: [tuple(None if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df.sort_values(key).itertuples(index=False)]
     assert as_text(found) == as_text(expected)
 
 
