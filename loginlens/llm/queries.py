@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import ann, bpe, decontam, fim, lines, pii, quality, shard, simhash, suffix, warc
+from loginlens.llm import ann, bpe, decontam, fim, lines, pii, quality, shard, simhash, suffix, warc, whiten
 from loginlens.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,7 +145,22 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array, op11_fill_in_middle)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whiten.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    explained = F.array(*[F.lit(e) for e in (model.explained if model else [])]).cast("array<double>")
+    long = rows.select("vec_id", "whitening.deviation", F.posexplode("whitening.whitened").alias("at", "whitened"))
+    return long.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.rows if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array, op11_fill_in_middle, op12_whitening)}
 
 ORACLES: dict[str, str] = {
     "op11_fill_in_middle": """
