@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.llm import ann, bpe, decontam, fim, lines, pii, quality, shard, simhash, suffix, warc, whiten
+from loginlens.llm import ann, bpe, decontam, fim, lines, lm, pii, quality, shard, simhash, suffix, warc, whiten
 from loginlens.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,7 +160,22 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array, op11_fill_in_middle, op12_whitening)}
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.fit(docs.filter(~lm.held_out(F.col("doc_id"))))
+    scored = lm.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        lm.held_out(F.col("doc_id")).alias("held_out"),
+        "lm.n_tokens",
+        "lm.n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        F.col("lm.base").alias("base_score"),
+        "lm.score",
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array, op11_fill_in_middle, op12_whitening, op13_language_model)}
 
 ORACLES: dict[str, str] = {
     "op11_fill_in_middle": """

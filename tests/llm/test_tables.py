@@ -193,6 +193,7 @@ CONTRACTS = {
     "op10_suffix_array": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op11_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
     "op12_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
 }
 
 
