@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loginlens.llm import bpe, decontam, lines, pii, quality, shard, simhash, suffix
@@ -303,15 +304,23 @@ def test_lines(spark):
 def test_line_fingerprints(spark, monkeypatch):
     rng = random.Random(10)
     texts = [words(rng, n) for n in (5, 6, 30, 700)]
-    whole = {r["pos"]: r["code"] for r in lines.fingerprinted_lines(frame(spark, ["\n".join(texts)]), "doc_id", "text", 5).collect()}
-    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    read = lambda: {r["pos"]: r for r in lines.fingerprinted_lines(frame(spark, ["\n".join(texts)]), "doc_id", "text", 5).collect()}
+    whole = read()
     for i, t in enumerate(texts):
-        of = [hashes[w] & (1 << 64) - 1 for w in t.split()]
-        code = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in of) > len(of))
-        assert whole[i] & (1 << 64) - 1 == code
-    monkeypatch.setattr(lines, "PART", 16)
-    parts = {r["pos"]: r["code"] for r in lines.fingerprinted_lines(frame(spark, ["\n".join(texts)]), "doc_id", "text", 5).collect()}
-    assert parts == whole
+        of = [int(xxhash.xxh3_128_hexdigest(w.encode()), 16) for w in t.split()]
+        code = sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in of) > len(of))
+        assert (whole[i]["high"] % (1 << 64), whole[i]["low"] % (1 << 64)) == (code >> 64, code % (1 << 64))
+        assert len(whole[i]["words"]) == whole[i]["size"] == len(of)
+    monkeypatch.setattr(lines, "COUNTED_WORDS", 16)
+    monkeypatch.setattr(lines, "SLICE_BYTES", 1)
+    assert read() == whole
+
+
+def test_both_ways_to_split_lines_agree(spark):
+    texts = ["One, two;three_four 5\x7f6 x\u00e9y", "\u4e2d\u6587abc \u0e01\u0e02 \U00020001z", "a" * 11, "\n\nword\nfive words are in here\r", "", None]
+    a = lines.fingerprinted_lines(frame(spark, texts), "doc_id", "text", 2).select("key", "row", "pos", "size")
+    b = lines.worded_lines(frame(spark, texts), "doc_id", "text", 2).select("key", "row", "pos", "size")
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 4
 
 
 def test_repeated_rows_count_once(spark):
@@ -401,20 +410,21 @@ def test_recall_of_candidates(spark, n, edits, least):
 
 
 def test_bits_within_the_stated_distance_are_found(spark):
-    """Codes that differ in up to BLOCKS - 2 bits share a key, also where the lengths lie in neighbouring steps."""
+    """Codes that differ in up to BLOCKS - 1 bits share a key, also where the lengths lie in neighbouring steps."""
     rng = random.Random(3)
     rows = []
     for i in range(300):
-        code, size = rng.getrandbits(64), rng.randrange(34, 400)
-        for bit in rng.sample(range(64), lines.BLOCKS - 2):
-            other = code if not rows else rows[-1][1] if rows[-1][0] == i else code
-            rows.append((i, (other & (1 << 64) - 1) ^ (1 << bit), rng.choice([size, -(-size * 97 // 100)])))
-        rows.append((i, code, size))
-    signed = [(i, c - (1 << 64) if c >> 63 else c, n) for i, c, n in rows]
-    keyed = spark.createDataFrame(signed, "i int, code long, size int").withColumn("keys", lines.block_keys(0.97)).collect()
-    first = {r["i"]: r for r in keyed}
-    for r in keyed:
-        assert set(r["keys"]) & set(first[r["i"]]["keys"])
+        code, size = rng.getrandbits(128), rng.randrange(34, 400)
+        changed = code
+        for bit in rng.sample(range(128), lines.BLOCKS - 1):
+            changed ^= 1 << bit
+        rows += [(i, code, size), (i, changed, rng.choice([size, -(-size * 97 // 100)]))]
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    df = spark.createDataFrame([(i, signed(c >> 64), signed(c % (1 << 64)), n) for i, c, n in rows], "i int, high long, low long, size int")
+    keys = collections.defaultdict(list)
+    for r in df.withColumn("keys", lines.block_keys(0.97)).collect():
+        keys[r["i"]].append(set(r["keys"]))
+    assert all(a & b for a, b in keys.values())
 
 
 def test_hot_buckets_of_lines(spark):
