@@ -16,6 +16,7 @@ from loginlens.operators import calendar, forest, grouping, normalise, prep, pro
 from loginlens.operators.features import Feature, FeatureRegistry, append_features, entities, extract_features
 from loginlens.operators.iforest import IsolationForestDetector
 from loginlens.operators.knn import KNNDetector, knn_pairs
+from loginlens.operators.lsh import approximate_knn_search
 from loginlens.operators.lscp import LSCPDetector, pick_locally
 from loginlens.operators.mixture import MixtureEnergyDetector, add_energy
 from loginlens.plans.analysis import Models, Options, find_anomalies, group_drift, group_features
@@ -789,6 +790,15 @@ def nearest_embeddings(spark, sf_dir):
     return rounded(pairs, "distance", digits=6)
 
 
+@register()
+def approximate_neighbours_embeddings(spark, sf_dir):
+    """Ten nearest rows by hash tables, the row itself among them."""
+    refs = materialise(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1).cast("long").alias("copies")))
+    near = approximate_knn_search(refs.select(F.col("ref_id").alias("query_id"), "vector"), refs, 10)
+    found = near.select(F.col("query_id").alias("vec_id"), F.posexplode("near").alias("place", "c"))
+    return rounded(found.select("vec_id", F.col("c.ref_id").alias("neighbour"), "c.distance", (F.col("place") + 1).alias("place")), "distance", digits=6)
+
+
 POINTS = "points as (select entity || '/' || bin as id, " + ", ".join(["weekday", *S.NUMERIC]) + " from norm)"
 MODEL_COLUMNS = ["weekday", *S.NUMERIC]
 FLAT = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) ** 2" for c in MODEL_COLUMNS) + ")"
@@ -807,6 +817,14 @@ def knn_features_user_day(spark, sf_dir):
     return rounded(KNNDetector(featureCols=MODEL_COLUMNS).fit_transform(rows).select("id", "scores"), "scores", digits=6)
 
 
+@register()
+def approximate_knn_features_user_day(spark, sf_dir):
+    """The default detector, with hash tables in place of the exact search."""
+    rows = keyed_features(spark, sf_dir)
+    found = KNNDetector(featureCols=MODEL_COLUMNS, approximate_above=1000).fit_transform(rows)
+    return rounded(found.select("id", "scores"), "scores", digits=6)
+
+
 @register(
     S.query(
         f"""select id from ({S.nearest("points", "id", FLAT, 20, True)}) s where scores >

@@ -395,6 +395,16 @@ class KNNParams(Params):
     method = Param(Params._dummy(), "method", "largest, mean or median distance", TypeConverters.toString)
     metric = Param(Params._dummy(), "metric", "distance metric", TypeConverters.toString)
     include_self = Param(Params._dummy(), "include_self", "count a training row as its own neighbour", TypeConverters.toBoolean)
+    approximate_above = Param(Params._dummy(), "approximate_above", "distinct reference vectors above which the search is approximate (0: never)", TypeConverters.toInt)
+
+    def search(self, queries: DataFrame, refs: DataFrame, k: int, space: Space) -> DataFrame:
+        """The exact search, or above a limit the approximate one, for metrics that have it."""
+        from loginlens.operators.lsh import METRICS, approximate_knn_search
+
+        limit = self.getOrDefault(self.approximate_above) if self.isDefined(self.approximate_above) else 0
+        if limit and space.metric in METRICS and refs.count() > limit:
+            return approximate_knn_search(queries, refs, k, space)
+        return knn_search(queries, refs, k, space)
 
 
 class KNNDetector(Detector, KNNParams):
@@ -408,7 +418,7 @@ class KNNDetector(Detector, KNNParams):
 
     @classmethod
     def defaults(cls) -> dict[str, Any]:
-        return {"contamination": 0.0001, "n_neighbors": 20, "method": "mean", "metric": "minkowski", "include_self": True}
+        return {"contamination": 0.0001, "n_neighbors": 20, "method": "mean", "metric": "minkowski", "include_self": True, "approximate_above": 0}
 
     def _fit(self, df: DataFrame) -> "KNNModel":
         return self._learn(df)[0]
@@ -419,7 +429,7 @@ class KNNDetector(Detector, KNNParams):
         space = fit_space(rows, VECTOR, self.value("metric"))
         vecs = distinct_vectors(in_space(rows.select(VECTOR), VECTOR, space), VECTOR)
         refs = vecs.select(F.col("vec_id").alias("ref_id"), "vector", "copies")
-        near = knn_search(vecs.select(F.col("vec_id").alias("query_id"), "vector"), refs, k + 1, space)
+        near = self.search(vecs.select(F.col("vec_id").alias("query_id"), "vector"), refs, k + 1, space)
         listed = distances(F.col("near"), k + 1)
         others, own = F.slice(listed, 2, k), F.slice(listed, 1, k)
         scores = near.select(
@@ -450,7 +460,7 @@ class KNNModel(DetectorModel, KNNParams):
         k = self.value("n_neighbors")
         rows = in_space(self.with_vector(df, self.columns).select(VECTOR), VECTOR, self.space)
         vecs = distinct_vectors(rows, VECTOR)
-        near = knn_search(vecs.select(F.col("vec_id").alias("query_id"), "vector"), self.refs, k, self.space)
+        near = self.search(vecs.select(F.col("vec_id").alias("query_id"), "vector"), self.refs, k, self.space)
         score = neighbour_score(distances(F.col("near"), k), self.value("method"))
         scores = vecs.join(near.select(F.col("query_id").alias("vec_id"), score.alias("scores")), "vec_id")
         return self.attach(df, scores.select("vector", "copies", "scores"))

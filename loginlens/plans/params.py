@@ -55,6 +55,7 @@ RULES: dict[str, dict[str, Rule]] = {
         "n_neighbors": Rule(0, integer=True),
         "method": Rule(choices=("largest", "mean", "median"), number=False),
         "metric": Rule(choices=METRICS, number=False),
+        "approximate_above": Rule(-1, integer=True),
     },
     "RF": {
         "num_trees": Rule(0, 100_000, integer=True),
