@@ -22,8 +22,12 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns; their matches are always reported, if their parts pass.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# They are applied in ways that take a time in proportion to the text, also where it has very long words:
+# an address [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ is sought from its at sign,
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# and an IP address from the start of a run of digits, since what fails there fails within the run as well.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SOME_DIGIT = re.compile(r"[0-9]")
@@ -44,7 +48,10 @@ SEED = 5
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
 AT = re.compile(r"(?:@|[\[({<]\s?at\s?[\])}>]|\bat\b)", re.I)
-WRITTEN = re.compile(r"[\w.%+-]+\s?(?:[\[({<]\s?at\s?[\])}>]\s?[\w-]+|\bat\b\s?[\w-]+\s?(?:[\[({<]\s?dot\s?[\])}>]|\bdot\b))", re.I)
+#: Most characters of a name or of a part of a host in an address that is written out.
+MOST_PART = 64
+WRITTEN = re.compile(rf"[\[({{<]\s?at\s?[\])}}>]\s?[\w-]{{1,{MOST_PART}}}|\bat\b\s?[\w-]{{1,{MOST_PART}}}\s?(?:[\[({{<]\s?dot\s?[\])}}>]|\bdot\b)", re.I)
+WRITTEN_NAME = re.compile(r"[\w.%+-]+\s?\Z")
 #: A part of whatever WRITTEN matches, besides "dot", in lower case.
 CLOSED_AT = re.compile(r"at\s?[\])}>]")
 TRIGGER = re.compile(rf"@|[0-9](?:[^\n]{{0,3}}[0-9]){{{LEAST_DIGITS - 1},}}|[0-9]{{1,3}}(?:[^\w\n]{{1,5}}[0-9]{{1,3}}){{3}}")
@@ -58,11 +65,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses without overlaps: each begins where the name before its at sign or the last address ends."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        first = at
+        while first > last and text[first - 1] in NAME:
+            first -= 1
+        host = HOST.match(text, at + 1) if first < at else None
+        if host:
+            last = host.end()
+            yield first, last
+        else:
+            last = at + 1
+        at = text.find("@", last)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of the fixed patterns, leftmost and without overlaps in each kind."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        found += [(a, 0, b) for a, b in emails(text)]
     if SOME_DIGIT.search(text):
         for m in IP.finditer(text):
             # Long parts are compared without making numbers of them.
@@ -85,7 +108,10 @@ def stretches(text: str) -> list[tuple[int, int]]:
     marks = [m.span() for m in TRIGGER.finditer(text)] if "@" in text or SOME_DIGIT.search(text) else []
     lowered = text.lower()
     if "dot" in lowered or CLOSED_AT.search(lowered):
-        marks += [m.span() for m in WRITTEN.finditer(text)]
+        for m in WRITTEN.finditer(text):
+            name = WRITTEN_NAME.search(text[max(0, m.start() - MOST_PART - 1) : m.start()])
+            if name:
+                marks.append((m.start() - len(name[0]), m.end()))
     out: list[list[int]] = []
     for a, b in sorted(marks):
         a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
