@@ -996,6 +996,14 @@ def forest_grid_accuracy(spark, sf_dir):
     return spark.createDataFrame(tried, "mtry int, min_node_size int, sample_fraction double, max_depth int, accuracy double")
 
 
+@register()
+def forest_out_of_bag_error(spark, sf_dir):
+    """Share of entities whose group is not that of the trees that did not see them; all parameters at their defaults."""
+    features = materialise(feature_table(spark, sf_dir))
+    model = grouping.fit_groups(normalise.entity_means(features), restarts=2)
+    return forest.out_of_bag_error(forest.group_votes(grouping.labelled_means(features, model)))
+
+
 # --- whole analyses, stored models, streams ------------------------------------------------------
 
 

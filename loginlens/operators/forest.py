@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loginlens.functions.scaling import box_cox, box_cox_lambdas
 from loginlens.operators.grouping import as_vector, group_weights
 from loginlens.plans.params import check_params
 from loginlens.schema import GROUP
+from loginlens.session import materialise
 
 VECTOR = "_inputs"
 WEIGHT = "_weight"
@@ -88,19 +92,73 @@ def _classifier(params: dict[str, Any]) -> RandomForestClassifier:
 
 
 def _training_rows(labelled: DataFrame) -> tuple[DataFrame, list[str], dict[str, float]]:
-    """Vector, label and class weight of every entity."""
+    """Entity, vector, label and class weight of every entity."""
     columns = [c for c in labelled.columns if c not in ("entity", GROUP)]
     lambdas = box_cox_lambdas(labelled, columns)
     # One weight per group: as many rows as there are clusters.
     weights = F.broadcast(group_weights(labelled).withColumnRenamed("weight", WEIGHT))
     rows = _inputs(labelled, columns, lambdas).join(weights, GROUP)
-    return rows.select(VECTOR, F.col(GROUP).cast("double").alias(GROUP), WEIGHT), columns, lambdas
+    return rows.select("entity", VECTOR, F.col(GROUP).cast("double").alias(GROUP), WEIGHT), columns, lambdas
+
+
+def bootstrap_count(key: Column, bag: int, seed: int, share: float = 1.0) -> Column:
+    """How often a row is drawn into a bag: a Poisson number with mean ``share``, by the hash of its key.
+
+    The same row is drawn alike however the table is partitioned and whenever a task runs again.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(bag), key), F.lit(1 << 30)) / float(1 << 30)
+    terms = [math.exp(-share) * share**n / math.factorial(n) for n in range(12)]
+    return sum(((u >= sum(terms[: n + 1])).cast("int") for n in range(12)), F.lit(0))
+
+
+def out_of_bag_votes(rows: DataFrame, params: dict[str, Any], bags: int = 10, key: str = "entity") -> DataFrame:
+    """(key, label, class, votes) from trees that did not see the row.
+
+    ``num_trees`` trees are grown in ``bags`` bags of rows; the trees of a bag differ by the features they try. A row
+    gets votes from the bags it was not drawn into, each tree giving one vote spread over the classes of the leaf. Rows
+    drawn into every bag have no votes. Rows with equal keys are drawn together.
+    """
+    params = {**DEFAULTS, **params}
+    seed = params["seed"] or 0
+    found = []
+    for bag in range(bags):
+        trees = params["num_trees"] // bags + (bag < params["num_trees"] % bags)
+        if not trees:
+            continue
+        drawn = rows.withColumn("_drawn", bootstrap_count(F.col(key), bag, seed, float(params["sample_fraction"])))
+        inside = drawn.filter("_drawn > 0").withColumn(WEIGHT, F.col(WEIGHT) * F.col("_drawn"))
+        if inside.isEmpty():
+            continue
+        classifier = _classifier({**params, "num_trees": trees, "sample_fraction": 1.0, "seed": seed + bag}).setBootstrap(False)
+        voted = classifier.fit(inside).transform(drawn.filter("_drawn = 0"))
+        found.append(voted.select(key, F.col(GROUP).alias("label"), F.posexplode(vector_to_array("rawPrediction")).alias("class", "vote")))
+    if not found:
+        return rows.select(key, F.col(GROUP).alias("label"), F.lit(0).alias("class"), F.lit(0.0).alias("votes")).limit(0)
+    # Few rows per bag reach the shuffle: one for every row and class.
+    return reduce(DataFrame.unionByName, found).groupBy(key, "label", "class").agg(F.sum("vote").alias("votes"))
+
+
+def out_of_bag_error(votes: DataFrame, key: str = "entity") -> DataFrame:
+    """(rows, error): the share of rows whose most voted class is not theirs; of equal votes the smaller class counts."""
+    best = votes.groupBy(key, "label").agg(F.min_by("class", F.struct(-F.col("votes"), F.col("class"))).alias("class"))
+    return best.agg(F.count("*").alias("rows"), F.avg((F.col("class") != F.col("label")).cast("double")).alias("error"))
 
 
 def _evaluator() -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=GROUP, metricName="accuracy")
 
 
+def group_votes(labelled: DataFrame, params: dict[str, Any] | None = None, bags: int = 10) -> DataFrame:
+    """Out-of-bag votes (entity, label, class, votes) for the groups of un-normalised entity means."""
+    params = {**DEFAULTS, **(params or {})}
+    rows, columns, _ = _training_rows(labelled)
+    rows = rows.persist()
+    try:
+        return materialise(out_of_bag_votes(rows, {**params, "mtry": min(params["mtry"], len(columns))}, bags))
+    finally:
+        rows.unpersist()
+
+
 def fit_group_forest(
     labelled: DataFrame, params: dict[str, Any] | None = None, folds: int = 5, parallelism: int = 4
 ) -> GroupForest:
@@ -132,9 +190,12 @@ def grid_search(
     seed: int = 123,
     train_share: float = 0.7,
     parallelism: int = 4,
+    bags: int = 0,
 ) -> list[dict[str, Any]]:
     """Accuracy of every parameter combination on held-out entities, best first.
 
+    With ``bags``, every combination also gets its out-of-bag error over all entities, and the least one comes first.
+
     ``mtry`` runs from 2 to the number of features unless the grid names it. The default grid is
     small; pass ``FULL_GRID`` for the whole search.
     """
@@ -160,19 +221,23 @@ def grid_search(
             seed=seed,
             parallelism=parallelism,
         ).fit(rows)
+        tried = [
+            {
+                "mtry": int(m[classifier.featureSubsetStrategy]),
+                "min_node_size": m[classifier.minInstancesPerNode],
+                "sample_fraction": m[classifier.subsamplingRate],
+                "max_depth": m[classifier.maxDepth],
+                "accuracy": accuracy,
+            }
+            for m, accuracy in zip(maps, search.validationMetrics)
+        ]
+        for t in tried if bags else []:
+            votes = out_of_bag_votes(rows, {**{k: v for k, v in t.items() if k != "accuracy"}, "num_trees": num_trees, "seed": seed}, bags)
+            t["oob_error"] = out_of_bag_error(votes).first()["error"]
     finally:
         rows.unpersist()
-    tried = [
-        {
-            "mtry": int(m[classifier.featureSubsetStrategy]),
-            "min_node_size": m[classifier.minInstancesPerNode],
-            "sample_fraction": m[classifier.subsamplingRate],
-            "max_depth": m[classifier.maxDepth],
-            "accuracy": accuracy,
-        }
-        for m, accuracy in zip(maps, search.validationMetrics)
-    ]
-    return sorted(tried, key=lambda t: -t["accuracy"])
+    # Without a vote the error is unknown, which comes last.
+    return sorted(tried, key=lambda t: (t["oob_error"] is None, t["oob_error"] or 0.0) if bags else -t["accuracy"])
 
 
 def fit_best_forest(labelled: DataFrame, grid: dict[str, Sequence[Any]] | None = None, num_trees: int = 500, seed: int = 123) -> GroupForest:
