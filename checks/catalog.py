@@ -18,6 +18,7 @@ from loginlens.operators.iforest import IsolationForestDetector
 from loginlens.operators.knn import KNNDetector, knn_pairs
 from loginlens.operators.lsh import approximate_knn_search
 from loginlens.operators.lscp import LSCPDetector, pick_locally
+from loginlens.operators.em import Mixture, em_step
 from loginlens.operators.mixture import MixtureEnergyDetector, add_energy
 from loginlens.plans.analysis import Models, Options, find_anomalies, group_drift, group_features
 from loginlens.session import materialise, new_shared_path, use_utc
@@ -950,6 +951,59 @@ def energy_of_weekday_mixture(spark, sf_dir):
     return rounded(energy.select("entity", "bin", "energy"), "energy", digits=6)
 
 
+STEP = """
+start as (select weekday, count(*)::double / (select count(*) from feat) as weight, avg(number_events) as mx, avg(Hosts_per_User) as my,
+  var_pop(number_events) + 0.001 as sx, var_pop(Hosts_per_User) + 0.001 as sy, covar_pop(number_events, Hosts_per_User) as c from feat group by weekday),
+logs as (select entity, bin, weekday, x, y, ln(weight) - ln(2 * pi()) - 0.5 * ln(sx * sy - c * c)
+    - 0.5 * ((x - mx) ** 2 * sy - 2 * (x - mx) * (y - my) * c + (y - my) ** 2 * sx) / (sx * sy - c * c) as l
+  from start cross join (select entity, bin, number_events::double as x, Hosts_per_User::double as y from feat)),
+tops as (select *, exp(l - max(l) over (partition by entity, bin)) as e from logs),
+shares as (select weekday, x, y, e / sum(e) over (partition by entity, bin) as r from tops),
+sums as (select weekday, sum(r) as n, sum(r * x) / sum(r) as mx, sum(r * y) / sum(r) as my from shares group by weekday)"""
+
+
+@register(
+    S.query(
+        """select s.weekday, round(any_value(s.n) / (select count(*) from feat), 6) as weight, round(any_value(s.mx), 6) as mean_x, round(any_value(s.my), 6) as mean_y,
+             round(sum(r * (x - s.mx) ** 2) / any_value(s.n) + 0.002 * (select count(*) from feat) / any_value(s.n), 6) as var_x,
+             round(sum(r * (y - s.my) ** 2) / any_value(s.n) + 0.002 * (select count(*) from feat) / any_value(s.n), 6) as var_y,
+             round(sum(r * (x - s.mx) * (y - s.my)) / any_value(s.n), 6) as covar
+           from shares join sums s on s.weekday = shares.weekday group by s.weekday""",
+        *FEAT,
+        STEP,
+    )
+)
+def mixture_step_of_weekdays(spark, sf_dir):
+    """One penalised EM step from a mixture with one component per weekday."""
+    x, y = F.col("number_events").cast("double"), F.col("Hosts_per_User").cast("double")
+    features = feature_table(spark, sf_dir).select("weekday", x.alias("x"), y.alias("y"), F.array(x, y).alias("z"))
+    parts = features.groupBy("weekday").agg(
+        F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.var_pop("x").alias("sx"), F.var_pop("y").alias("sy"), F.covar_pop("x", "y").alias("c"),
+    ).orderBy("weekday").collect()
+    total = sum(p["n"] for p in parts)
+    start = Mixture(
+        [p["n"] / total for p in parts],
+        [[p["mx"], p["my"]] for p in parts],
+        [[[p["sx"] + 0.001, p["c"]], [p["c"], p["sy"] + 0.001]] for p in parts],
+    )
+    after, _ = em_step(features, "z", start, penalty=0.001)
+    rows = [(p["weekday"], w, *m, s[0][0], s[1][1], s[0][1]) for p, w, m, s in zip(parts, after.weights, after.means, after.covariances)]
+    names = ["weight", "mean_x", "mean_y", "var_x", "var_y", "covar"]
+    return rounded(spark.createDataFrame(rows, "weekday int, " + ", ".join(f"{c} double" for c in names)), *names, digits=6)
+
+
+@register(
+    S.query(
+        f"""select entity, bin, {", ".join(f"round((sum(cast({c} as decimal(26,9))) over w)::double / count({c}) over w, 9) as {c}" for c in S.NUMERIC)}
+            from feat window w as (partition by entity order by bin rows unbounded preceding)""",
+        *FEAT,
+    )
+)
+def running_entity_means(spark, sf_dir):
+    return rounded(normalise.running_means(feature_table(spark, sf_dir)), *S.NUMERIC)
+
+
 @register(
     S.query(
         """select vec_id, cast(case when coalesce(cb, -2) > coalesce(ca, -2) then 1 else 0 end as int) as best from (
@@ -1070,4 +1124,4 @@ def stream_scores(spark, sf_dir):
     middle, path = first + _days((last - first).days // 2), new_shared_path(spark, "models")
     find_anomalies(kept(spark, sf_dir), Options(start=first, end=middle, method="IF", restarts=2), save_to=path)
     models = Models.load(path, "IF")
-    return run_stream(spark, sf_dir, scorer(models.groups, models.bounds, models.detector))
+    return run_stream(spark, sf_dir, scorer(models.groups, models.bounds, models.detector, new_shared_path(spark, "running")))

@@ -1,7 +1,7 @@
 """Mixture-energy anomaly score over compressed rows and their reconstruction errors.
 
 The data flow is that of a deep autoencoding Gaussian mixture (Zong et al., 2018), with a linear
-encoder (PCA) and a mixture fitted by EM in place of the jointly trained network.
+encoder (PCA) and a mixture fitted by penalised EM in place of the jointly trained network.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 
 from loginlens.functions.quantile import exact_quantile
 from loginlens.operators.detector import VECTOR, Detector, DetectorModel
+from loginlens.operators.em import PENALTY, component_logs, fit_mixture, log_density
 from loginlens.operators.knn import as_lists, matrix
 from loginlens.schema import GROUP, with_field
 from loginlens.session import few_partitions, materialise
@@ -41,18 +41,7 @@ def reconstruction_errors(x: np.ndarray, back: np.ndarray) -> np.ndarray:
 
 def mixture_energy(z: np.ndarray, weights: Sequence[float], means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
     """-log of the mixture density, computed in logs so that far rows keep their differences."""
-    z, dims = np.asarray(z, dtype=float), np.shape(z)[1]
-    logs = []
-    for weight, mean, covariance in zip(weights, means, covariances):
-        if weight <= 0:
-            continue
-        factor = np.linalg.cholesky(np.asarray(covariance) + np.eye(dims) * DIAGONAL)
-        scaled = np.linalg.solve(factor, (z - mean).T)
-        log_det = 2 * np.log(np.diag(factor)).sum()
-        logs.append(np.log(weight) - 0.5 * ((scaled**2).sum(axis=0) + dims * np.log(2 * np.pi) + log_det))
-    stack = np.array(logs)
-    top = stack.max(axis=0)
-    return -(top + np.log(np.exp(stack - top).sum(axis=0)))
+    return -log_density(component_logs(z, weights, means, covariances, DIAGONAL))
 
 
 def add_energy(
@@ -74,7 +63,8 @@ def add_energy(
 class EnergyParams(Params):
     components = Param(Params._dummy(), "components", "Gaussians in the mixture", TypeConverters.toInt)
     compressed = Param(Params._dummy(), "compressed", "dimensions kept by the encoder", TypeConverters.toInt)
-    max_iter = Param(Params._dummy(), "max_iter", "EM steps", TypeConverters.toInt)
+    max_iter = Param(Params._dummy(), "max_iter", "most EM steps", TypeConverters.toInt)
+    penalty = Param(Params._dummy(), "penalty", "weight of the penalty on small variances", TypeConverters.toFloat)
     level = Param(Params._dummy(), "level", "quantile of the scores from which rows are flagged", TypeConverters.toFloat)
     random_seed = Param(Params._dummy(), "random_seed", "seed", TypeConverters.toInt)
 
@@ -86,8 +76,8 @@ class MixtureEnergyDetector(Detector, EnergyParams):
 
     @classmethod
     def defaults(cls) -> dict[str, Any]:
-        # Few EM steps: a long run lets one component collapse onto an outlier and hide it.
-        return {"components": 4, "compressed": 2, "max_iter": 20, "level": 0.9999, "random_seed": 123}
+        # The penalty keeps components from shrinking onto an outlier, however many steps there are.
+        return {"components": 4, "compressed": 2, "max_iter": 300, "penalty": PENALTY, "level": 0.9999, "random_seed": 123}
 
     def _fit(self, df: DataFrame) -> "MixtureEnergyModel":
         model = self._learn(df)
@@ -120,13 +110,14 @@ class MixtureEnergyDetector(Detector, EnergyParams):
             keep = min(self.value("compressed"), len(at))
             pca = PCA(k=keep, inputCol="v", outputCol="z").fit(scaled.select(array_to_vector(VECTOR).alias("v")))
             model.axes = pca.pc.toArray().tolist()
-            latent = model.compress(scaled).select(array_to_vector("_latent").alias("features"))
-            mixture = GaussianMixture(
-                k=self.value("components"), maxIter=self.value("max_iter"), seed=self.value("random_seed")
-            ).fit(latent)
-            model.weights = list(mixture.weights)
-            model.means = [g.mean.toArray().tolist() for g in mixture.gaussians]
-            model.covariances = [r["cov"].toArray().tolist() for r in mixture.gaussiansDF.select("cov").collect()]
+            latent = model.compress(scaled).select("_latent").persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                mixture = fit_mixture(
+                    latent, "_latent", self.value("components"), self.value("penalty"), self.value("max_iter"), seed=self.value("random_seed")
+                )
+            finally:
+                latent.unpersist()
+            model.weights, model.means, model.covariances = mixture.weights, mixture.means, mixture.covariances
         finally:
             rows.unpersist()
         return model

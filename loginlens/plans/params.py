@@ -69,6 +69,7 @@ RULES: dict[str, dict[str, Rule]] = {
         "components": Rule(0, integer=True),
         "compressed": Rule(0, integer=True),
         "max_iter": Rule(0, integer=True),
+        "penalty": Rule(0),
         "level": Rule(0, 1.0),
         "random_seed": Rule(integer=True),
     },

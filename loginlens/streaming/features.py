@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -94,16 +95,23 @@ def stream_features(
 
 
 def write_stream(
-    features: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None
+    features: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame, int], DataFrame] | None = None
 ) -> StreamingQuery:
-    """Append closed bins to Parquet, optionally after a batch transform such as scoring.
+    """Append closed bins to Parquet, optionally after a transform of each micro-batch and its number, such as scoring.
 
     Every micro-batch owns one folder and overwrites it, so a repeated batch leaves no copies.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        ready = transform(batch) if transform else batch
-        ready.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if transform is None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            return
+        # A transform may read its rows several times; the stateful steps before it should run once.
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            transform(batch, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return (
         features.writeStream.outputMode("append")
