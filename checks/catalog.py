@@ -995,13 +995,13 @@ def mixture_step_of_weekdays(spark, sf_dir):
 
 @register(
     S.query(
-        f"""select entity, bin, {", ".join(f"round((sum(cast({c} as decimal(26,9))) over w)::double / count({c}) over w, 9) as {c}" for c in S.NUMERIC)}
+        f"""select entity, bin, {", ".join(f"(sum(cast({c} as decimal(26,9))) over w)::double / count({c}) over w as {c}" for c in S.NUMERIC)}
             from feat window w as (partition by entity order by bin rows unbounded preceding)""",
         *FEAT,
     )
 )
 def running_entity_means(spark, sf_dir):
-    return rounded(normalise.running_means(feature_table(spark, sf_dir)), *S.NUMERIC)
+    return normalise.running_means(feature_table(spark, sf_dir))
 
 
 @register(

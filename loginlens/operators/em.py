@@ -8,7 +8,7 @@ much for one of a single row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,8 +115,11 @@ def em_step(rows: DataFrame, vector: str, mixture: Mixture, penalty: float = PEN
     return next_mixture(total, mixture, penalty)
 
 
-def first_mixture(rows: DataFrame, vector: str, components: int, penalty: float, seed: int) -> Mixture:
-    """Components around rows far from each other (k-means++), from the START_ROWS rows of least hash.
+def first_mixture(
+    rows: DataFrame, vector: str, components: int, penalty: float, seed: int, max_iter: int = 0, tolerance: float = 1e-4
+) -> Mixture:
+    """A start for EM from the START_ROWS rows of least hash: components around rows far from each other (k-means++), then
+    at most ``max_iter`` steps over these rows alone.
 
     The choice does not depend on partitions. With fewer different rows there are fewer components.
     """
@@ -124,6 +127,8 @@ def first_mixture(rows: DataFrame, vector: str, components: int, penalty: float,
     if not sample:
         raise ValueError("no rows to fit on")
     z = np.array([r[0] for r in sample], dtype=float)
+    if not np.isfinite(z).all():
+        raise ValueError("vectors must be finite")
     draw = np.random.default_rng(seed)
     centres = [z[draw.integers(len(z))]]
     gap = ((z - centres[0]) ** 2).sum(axis=1)
@@ -134,19 +139,28 @@ def first_mixture(rows: DataFrame, vector: str, components: int, penalty: float,
     nearest = ((z[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
     share = np.bincount(nearest, minlength=len(means)) / len(z)
     spread = np.cov(z.T, bias=True).reshape(z.shape[1], -1) / len(means) + np.eye(z.shape[1]) * 2 * penalty * len(means)
-    return Mixture(share.tolist(), means.tolist(), [spread.tolist()] * len(means))
+    start = Mixture(share.tolist(), means.tolist(), [spread.tolist()] * len(means))
+    return _until_steady(start, lambda m: next_mixture(share_sums(iter([z]), m), m, penalty), max_iter, tolerance)
 
 
-def fit_mixture(
-    rows: DataFrame, vector: str, components: int, penalty: float = PENALTY, max_iter: int = 300, tolerance: float = 1e-4, seed: int = 123
-) -> Mixture:
-    """Steps until the penalised mean log density gains less than ``tolerance``; persist the rows before."""
-    if penalty <= 0:
-        raise ValueError("the penalty must be positive")
-    mixture, before = first_mixture(rows, vector, components, penalty, seed), -np.inf
+def _until_steady(mixture: Mixture, step: Callable[[Mixture], tuple[Mixture, float]], max_iter: int, tolerance: float) -> Mixture:
+    before = -np.inf
     for _ in range(max_iter):
-        after, value = em_step(rows, vector, mixture, penalty)
+        after, value = step(mixture)
         if value - before < tolerance:
             break
         mixture, before = after, value
     return mixture
+
+
+def fit_mixture(
+    rows: DataFrame, vector: str, components: int, penalty: float = PENALTY, max_iter: int = 300, tolerance: float = 1e-4, seed: int = 123
+) -> Mixture:
+    """Steps over all rows until the penalised mean log density gains less than ``tolerance``; persist the rows before.
+
+    The bounded start is already steady on its own rows, so few passes over the table are left.
+    """
+    if penalty <= 0:
+        raise ValueError("the penalty must be positive")
+    start = first_mixture(rows, vector, components, penalty, seed, max_iter, tolerance)
+    return _until_steady(start, lambda m: em_step(rows, vector, m, penalty), max_iter, tolerance)
