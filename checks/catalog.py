@@ -415,7 +415,7 @@ def changed_groups(spark, sf_dir):
 @register()
 def kmeans_groups(spark, sf_dir):
     means = normalise.entity_means(feature_table(spark, sf_dir))
-    return grouping.fit_groups(means, restarts=3).assign(means).select("entity", "group_id")
+    return grouping.fit_groups(means).assign(means).select("entity", "group_id")
 
 
 @register()
@@ -425,7 +425,7 @@ def kmeans_groups_of_later_entities(spark, sf_dir):
     middle = first + _days((last - first).days // 2)
     events = cleaned(spark, sf_dir)
     early, late = (normalise.entity_means(extract_features(events, a, b)) for a, b in ((first, middle), (middle, last)))
-    return grouping.fit_groups(early, restarts=2).assign(late).select("entity", "group_id")
+    return grouping.fit_groups(early).assign(late).select("entity", "group_id")
 
 
 @register()
@@ -899,7 +899,7 @@ def knn_mahalanobis_features(spark, sf_dir):
 
 def grouped_features(spark, sf_dir) -> DataFrame:
     features = materialise(feature_table(spark, sf_dir))
-    return group_features(features, Options(restarts=2))[0]
+    return group_features(features, Options())[0]
 
 
 @register()
@@ -1034,18 +1034,18 @@ FEW_TREES = {"num_trees": 50, "max_depth": 5}
 
 @register()
 def group_drift_visits(spark, sf_dir):
-    return group_drift(kept(spark, sf_dir), Options(method="RF", span="full", restarts=2, params=FEW_TREES))
+    return group_drift(kept(spark, sf_dir), Options(method="RF", span="full", params=FEW_TREES))
 
 
 @register()
 def group_drift_changes(spark, sf_dir):
-    return group_drift(kept(spark, sf_dir), Options(method="RF", span="full", restarts=2, params=FEW_TREES, group_changes=True))
+    return group_drift(kept(spark, sf_dir), Options(method="RF", span="full", params=FEW_TREES, group_changes=True))
 
 
 @register()
 def forest_grid_accuracy(spark, sf_dir):
     features = materialise(feature_table(spark, sf_dir))
-    model = grouping.fit_groups(normalise.entity_means(features), restarts=2)
+    model = grouping.fit_groups(normalise.entity_means(features))
     tried = forest.grid_search(grouping.labelled_means(features, model), num_trees=20)
     return spark.createDataFrame(tried, "mtry int, min_node_size int, sample_fraction double, max_depth int, accuracy double")
 
@@ -1054,7 +1054,7 @@ def forest_grid_accuracy(spark, sf_dir):
 def forest_out_of_bag_error(spark, sf_dir):
     """Share of entities whose group is not that of the trees that did not see them; all parameters at their defaults."""
     features = materialise(feature_table(spark, sf_dir))
-    model = grouping.fit_groups(normalise.entity_means(features), restarts=2)
+    model = grouping.fit_groups(normalise.entity_means(features))
     return forest.out_of_bag_error(forest.group_votes(grouping.labelled_means(features, model)))
 
 
@@ -1064,12 +1064,12 @@ def forest_out_of_bag_error(spark, sf_dir):
 @register()
 def ranking_from_events(spark, sf_dir):
     """From raw events to a ranking with the default method."""
-    return find_anomalies(kept(spark, sf_dir), Options(rank="first", restarts=2))
+    return find_anomalies(kept(spark, sf_dir), Options(rank="first"))
 
 
 @register()
 def flagged_from_events(spark, sf_dir):
-    return find_anomalies(kept(spark, sf_dir), Options(method="IF", params={"contamination": 0.01}, restarts=2))
+    return find_anomalies(kept(spark, sf_dir), Options(method="IF", params={"contamination": 0.01}))
 
 
 @register()
@@ -1077,7 +1077,7 @@ def ranking_with_stored_models(spark, sf_dir):
     """Models fitted on the first half of the range score the second."""
     first, last = dates(spark, sf_dir)
     middle, path = first + _days((last - first).days // 2), new_shared_path(spark, "models")
-    common = {"method": "IF", "rank": "first", "restarts": 2}
+    common = {"method": "IF", "rank": "first"}
     find_anomalies(kept(spark, sf_dir), Options(start=first, end=middle, **common), save_to=path)
     return find_anomalies(kept(spark, sf_dir), Options(start=middle, end=last, **common), load_from=path)
 
@@ -1122,6 +1122,6 @@ def stream_scores(spark, sf_dir):
     """Closed bins scored with models fitted on the first half of the range."""
     first, last = dates(spark, sf_dir)
     middle, path = first + _days((last - first).days // 2), new_shared_path(spark, "models")
-    find_anomalies(kept(spark, sf_dir), Options(start=first, end=middle, method="IF", restarts=2), save_to=path)
+    find_anomalies(kept(spark, sf_dir), Options(start=first, end=middle, method="IF"), save_to=path)
     models = Models.load(path, "IF")
     return run_stream(spark, sf_dir, scorer(models.groups, models.bounds, models.detector, new_shared_path(spark, "running")))

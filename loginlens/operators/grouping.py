@@ -5,78 +5,77 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel, PowerIterationClustering
+from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loginlens.operators.kmeans import fit_centres
 from loginlens.operators.normalise import entity_means
 from loginlens.schema import GROUP
 from loginlens.session import broadcast_if_small, few_partitions, materialise
 
 VECTOR = "_vector"
+MODEL_FIELDS = "columns string, centres string, cost double"
 
 
 @dataclass
 class GroupModel:
-    """A fitted k-means with its clusters numbered 1..k in the order of their centres.
+    """Centres of groups numbered 1..k in the order of the centres.
 
     The number is itself a feature, so it must not depend on the order in which the clusters
     happened to be found.
     """
 
-    kmeans: KMeansModel
+    centres: list[list[float]]
     columns: list[str]
-
-    @property
-    def ranks(self) -> list[int]:
-        """Group number per cluster index."""
-        centres = [tuple(c) for c in self.kmeans.clusterCenters()]
-        order = sorted(range(len(centres)), key=lambda i: centres[i])
-        return [order.index(i) + 1 for i in range(len(centres))]
+    cost: float | None = None
 
     def assign(self, means: DataFrame) -> DataFrame:
-        """Nearest group of every entity, for known and for new entities."""
+        """Nearest group of every entity, for known and for new entities; of equally near ones the first.
+
+        Means that are null or not finite raise.
+        """
         missing = [c for c in self.columns if c not in means.columns]
         if missing:
             raise ValueError(f"the group model needs the features {missing}")
-        found = self.kmeans.transform(as_vector(means, self.columns))
-        numbers = F.array(*[F.lit(r) for r in self.ranks])
-        return found.withColumn(GROUP, F.get(numbers, F.col("prediction"))).drop(VECTOR, "prediction")
+        values = [F.col(c).cast("double") for c in self.columns]
+        gaps = [sum((F.pow(v - F.lit(x), 2) for v, x in zip(values, centre)), F.lit(0.0)) for centre in self.centres]
+        nearest = F.array_min(F.array(*[F.struct(gap.alias("gap"), F.lit(i + 1).alias("group")) for i, gap in enumerate(gaps)]))
+        usable = reduce(and_, [F.coalesce(F.abs(v) < float("inf"), F.lit(False)) for v in values])
+        return means.withColumn(GROUP, F.when(usable, nearest["group"]).otherwise(F.raise_error("means must be finite").cast("int")))
 
     def save(self, path: str) -> None:
-        self.kmeans.write().overwrite().save(f"{path}/kmeans")
+        row = (json.dumps(self.columns), json.dumps(self.centres), self.cost)
         spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps(self.columns),)], "columns string").write.mode("overwrite").json(f"{path}/columns")
+        spark.createDataFrame([row], MODEL_FIELDS).coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
     @classmethod
     def load(cls, path: str) -> "GroupModel":
-        columns = SparkSession.active().read.schema("columns string").json(f"{path}/columns").first()["columns"]
-        return cls(KMeansModel.load(f"{path}/kmeans"), json.loads(columns))
+        row = SparkSession.active().read.schema(MODEL_FIELDS).parquet(f"{path}/centres").first()
+        return cls(json.loads(row["centres"]), json.loads(row["columns"]), row["cost"])
 
 
 def as_vector(df: DataFrame, columns: Sequence[str], name: str = VECTOR) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=name, handleInvalid="error").transform(df)
 
 
-def fit_groups(means: DataFrame, k: int = 13, seed: int = 123, restarts: int = 5, max_iter: int = 50) -> GroupModel:
+def fit_groups(means: DataFrame, k: int = 13, seed: int = 123, restarts: int = 100, max_iter: int = 50) -> GroupModel:
     """k-means on the un-normalised means, the best of several starts; k is at most the number of entities."""
     if k < 2:
         raise ValueError("at least two groups are needed")
     columns = [c for c in means.columns if c != "entity"]
-    vectors = as_vector(means, columns).select("entity", VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = means.select("entity", F.array(*[F.col(c).cast("double") for c in columns]).alias(VECTOR)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = vectors.count()
         if n < 2:
             raise ValueError("grouping needs at least two entities")
-        packed, best = few_partitions(vectors, n), None
-        for start in range(restarts):
-            model = KMeans(k=min(k, n), seed=seed + start, maxIter=max_iter, featuresCol=VECTOR).fit(packed)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return GroupModel(best, columns)
+        centres, cost = fit_centres(few_partitions(vectors, n), VECTOR, min(k, n), restarts, max_iter, seed)
+        return GroupModel(centres.tolist(), columns, cost)
     finally:
         vectors.unpersist()
 

@@ -46,7 +46,7 @@ class Options:
     clusters: int = 13
     spectral: bool = False
     seed: int = 123
-    restarts: int = 5
+    restarts: int = 100
     group_changes: bool = False
     dynamic: bool = False
     registry: FeatureRegistry | None = None
