@@ -14,6 +14,7 @@ from loginlens.functions import scaling
 from loginlens.functions.timebin import TimeBin, clock_to_seconds, days_since_1900, seconds_to_clock
 from loginlens.operators import calendar, forest, grouping, normalise, prep, profile, rank, sampling, stats
 from loginlens.operators.features import Feature, FeatureRegistry, append_features, entities, extract_features
+from loginlens.operators.rollup import features_of_totals, mergeable_totals, roll_up
 from loginlens.operators.iforest import IsolationForestDetector
 from loginlens.operators.knn import KNNDetector, knn_pairs
 from loginlens.operators.lsh import approximate_knn_search
@@ -26,7 +27,7 @@ from loginlens.sources.features import read_features, write_features
 from loginlens.sources.logons import parse_logon_id, parse_time, read_logons, write_by_time, write_logons
 from loginlens.streaming.features import (
     clean_stream,
-    open_bins,
+    end_stream,
     read_stream_output,
     stream_features,
     stream_logons,
@@ -399,6 +400,16 @@ def visited_groups(spark, sf_dir):
     return grouping.visited_groups(rows)
 
 
+@register(S.query("select * from feat", *S.BASE, S.features("user", "dh", 24)))
+def features_from_sketches(spark, sf_dir):
+    """Stored totals of six-hour bins with distinct-count sketches, rolled up to 24 hours; counts this small are exact."""
+    start, end = dates(spark, sf_dir)
+    hours, day = TimeBin("dh", 6), TimeBin("dh", 24)
+    path = new_shared_path(spark, "totals")
+    mergeable_totals(cleaned(spark, sf_dir), start, end, "user", hours).write.parquet(path)
+    return features_of_totals(roll_up(spark.read.parquet(path), hours, day), start, "user", day)
+
+
 @register(
     S.query(
         """select entity, cast(sum(case when g <> before then 1 else 0 end) as bigint) as changed_groups from (
@@ -1082,21 +1093,26 @@ def ranking_with_stored_models(spark, sf_dir):
     return find_anomalies(kept(spark, sf_dir), Options(start=middle, end=last, **common), load_from=path)
 
 
-def event_stream(spark, sf_dir):
-    """Logons as files that arrive one after the other in time order, a quarter of the range each."""
-    path, events = new_shared_path(spark, "stream-in"), logons(spark, sf_dir)
+def write_quarters(spark, sf_dir, path) -> int:
+    """Logons as files that arrive in time order, a quarter of the range after the other; the number of files a quarter."""
+    events = logons(spark, sf_dir)
     first, last = dates(spark, sf_dir)
-    days = (last - first).days
+    days, files = (last - first).days, max(1, events.count() // 5_000_000)
     for quarter in range(4):
         a, b = (first + _days(days * q // 4) for q in (quarter, quarter + 1))
-        prep.in_range(events, a, b).coalesce(1).write.mode("append").parquet(path)
-    return clean_stream(stream_logons(spark, path, 1))
-
-
-def run_stream(spark, sf_dir, transform=None):
-    features = stream_features(event_stream(spark, sf_dir), *dates(spark, sf_dir))
-    out = new_shared_path(spark, "stream-out")
-    write_stream(features, out, new_shared_path(spark, "stream-state"), transform).awaitTermination()
+        prep.in_range(events, a, b).repartition(files).write.mode("append").parquet(path)
+    return files
+
+
+def run_stream(spark, sf_dir, transform=None, ended=False):
+    """What the stream of all logons has handed out; with ``ended`` it goes on after a restart, and finds the end mark."""
+    path, out, state = (new_shared_path(spark, f"stream-{part}") for part in ("in", "out", "state"))
+    cleaned_logons = clean_stream(stream_logons(spark, path, write_quarters(spark, sf_dir, path)))
+    features = stream_features(cleaned_logons, *dates(spark, sf_dir))
+    write_stream(features, out, state, transform).awaitTermination()
+    if ended:
+        end_stream(spark, path)
+        write_stream(features, out, state, transform).awaitTermination()
     return read_stream_output(spark, out)
 
 
@@ -1112,9 +1128,8 @@ def stream_features_closed_bins(spark, sf_dir):
 
 @register(S.query("select * from feat", *FEAT))
 def stream_features_finished(spark, sf_dir):
-    """The stream's closed bins and a batch over the rest make the whole table."""
-    closed = run_stream(spark, sf_dir)
-    return append_features(closed, open_bins(cleaned(spark, sf_dir), closed, *dates(spark, sf_dir)))
+    """The end mark closes the last bins, so the stream hands out the whole table."""
+    return run_stream(spark, sf_dir, ended=True)
 
 
 @register()

@@ -14,10 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from loginlens.functions.timebin import TimeBin, as_date, utc_midnight, utc_timestamp
 from loginlens.operators.features import extract_features, feature_columns, type_flag
 from loginlens.operators.prep import drop_ignored_accounts, keep_events, with_entity
-from loginlens.schema import DEDUP_COLUMNS, LOGON_SCHEMA, PROPORTION_SETS, VIEW_COUNTS
+from loginlens.schema import DEDUP_COLUMNS, LOGON_EVENT_CODE, LOGON_SCHEMA, PROPORTION_SETS, VIEW_COUNTS
 
 SPREAD = 32  # parts a busy entity's event count is kept in
 
+#: Time of the event that ends a stream, later than any other.
+END_OF_STREAM = dt.datetime(9000, 1, 1)
+
 
 def stream_logons(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of logon events as they arrive."""
@@ -30,10 +33,26 @@ def stream_logons(spark: SparkSession, path: str, files_per_trigger: int | None
 def clean_stream(
     logons: DataFrame, delay: str = "1 hour", ignore_accounts: tuple[int, int] | None = (0, 10_000)
 ) -> DataFrame:
-    """Successful logons without ignored accounts and without repeats; later events than ``delay`` are dropped."""
+    """Successful logons without ignored accounts and without repeats; later events than ``delay`` are dropped.
+
+    The end mark of ``end_stream`` moves the watermark but is no event. The filter that leaves it out names the time, so
+    Spark keeps it after the watermark.
+    """
     kept = keep_events(logons)
     kept = drop_ignored_accounts(kept, *ignore_accounts) if ignore_accounts else kept
-    return kept.withWatermark("ts", delay).dropDuplicatesWithinWatermark(DEDUP_COLUMNS).select(DEDUP_COLUMNS)
+    timed = kept.withWatermark("ts", delay).filter(F.col("ts") < utc_timestamp(END_OF_STREAM))
+    return timed.dropDuplicatesWithinWatermark(DEDUP_COLUMNS).select(DEDUP_COLUMNS)
+
+
+def end_stream(spark: SparkSession, path: str) -> None:
+    """End the stream of the Parquet files under ``path``: its next run hands out the bins that are still open.
+
+    A file with one event later than all others closes every bin by event time, out of the state that the stream keeps, and
+    so empties that state; no event is read again. Whatever comes after it is late. It has to be the newest file.
+    """
+    values = {"event_code": F.lit(LOGON_EVENT_CODE), "ts": utc_timestamp(END_OF_STREAM), "account": F.lit("end of stream")}
+    mark = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOGON_SCHEMA])
+    mark.coalesce(1).write.mode("append").parquet(path)
 
 
 def stream_features(
@@ -135,7 +154,10 @@ def open_bins(
     time_bin: TimeBin = TimeBin(),
     proportions: Sequence[Sequence[int]] = tuple(PROPORTION_SETS),
 ) -> DataFrame:
-    """Batch features of the bins after the last closed one, to finish a stream that has ended."""
+    """Batch features of the bins after the last closed one, to look at them while the stream goes on.
+
+    This reads the events again; ``end_stream`` finishes a stream without that.
+    """
     last = closed.agg(F.max("bin")).first()[0]
     rest = extract_features(cleaned, start, end, view, time_bin, proportions)
     return rest if last is None else rest.filter(F.col("bin") > last)

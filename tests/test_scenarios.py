@@ -1,5 +1,7 @@
 """Injected behaviour must rank first; whole analyses, stored models and streams."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from loginlens.operators.features import extract_features
 from loginlens.operators.rank import rank_first
 from loginlens.plans.analysis import Models, Options, features_of, find_anomalies, group_drift, group_features, statistics_of
 from loginlens.session import new_shared_path
-from loginlens.streaming.features import clean_stream, open_bins, read_stream_output, stream_features, stream_logons, write_stream
+from loginlens.streaming.features import clean_stream, end_stream, open_bins, read_stream_output, stream_features, stream_logons, write_stream
 
 SUSPECT = "20007"
 START, END = "2021-06-01", "2021-06-22"
@@ -137,3 +139,25 @@ def test_stream_in_parts_equals_batch_on_closed_bins(spark, baseline):
     assert batch.filter(F.col("bin") <= newest).exceptAll(closed).count() == 0
     rest = open_bins(events, closed, START, "2021-06-11", "host", five)
     assert closed.unionByName(rest).exceptAll(batch).count() == 0 and closed.count() + rest.count() == batch.count()
+
+
+def test_end_mark_hands_out_open_bins_and_empties_the_state(spark, baseline):
+    """After a restart, from state alone: the events' files are gone when the stream goes on. Nothing is kept after it."""
+    path, five = new_shared_path(spark, "in"), TimeBin("h", 5)
+    out, state = new_shared_path(spark, "out"), new_shared_path(spark, "state")
+    prep.in_range(baseline, START, "2021-06-04").coalesce(1).write.parquet(path)
+    features = stream_features(clean_stream(stream_logons(spark, path, 1)), START, "2021-06-04", "host", five)
+    first = write_stream(features, out, state)
+    first.awaitTermination()
+    batch = extract_features(prep.clean(baseline), START, "2021-06-04", "host", five)
+    assert read_stream_output(spark, out).count() < batch.count()
+    assert sum(s["numRowsTotal"] for s in first.lastProgress["stateOperators"]) > 0
+    for name in Path(path).glob("*.parquet"):
+        name.unlink()
+    end_stream(spark, path)
+    second = write_stream(features, out, state)
+    second.awaitTermination()
+    found = read_stream_output(spark, out)
+    batch = extract_features(prep.clean(prep.in_range(baseline, START, "2021-06-04")), START, "2021-06-04", "host", five)
+    assert found.count() == batch.count() and found.exceptAll(batch).count() == 0
+    assert sum(s["numRowsTotal"] for s in second.lastProgress["stateOperators"]) == 0
