@@ -178,6 +178,17 @@ def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_stable_projections, op3_decontamination, op4_warc, op5_quality, op6_byte_bpe, op7_personal_data, op8_line_dedup, op9_rendezvous, op10_suffix_array, op11_fill_in_middle, op12_whitening, op13_language_model)}
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+        ), responses AS (
+            SELECT payload, max(page_id) AS response FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload
+        )
+        SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN response <> page_id THEN response END AS refers_to
+        FROM payloads LEFT JOIN responses USING (payload)
+    """,
     "op11_fill_in_middle": """
         WITH texts AS (
             SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
