@@ -22,6 +22,8 @@ SEED = 42
 BITS = 64
 #: Most fingerprints under one top node that are searched in one task; larger ones are linked through bit flips.
 NODE_ROWS = 16_384
+#: Rows of the index a task links, about.
+TASK_ROWS = 8192
 FANOUT = 8
 SHINGLES_AT_ONCE = 1 << 17
 PAIRS_AT_ONCE = 1 << 20
@@ -146,7 +148,9 @@ def link_fingerprints(nodes: DataFrame, distance: int, node_rows: int = NODE_ROW
     counts = rows.groupBy("turn", "pattern").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stored(rows.join(stored(counts, "patterns"), ["turn", "pattern"]), "shared")
     grouped = shared.filter(F.col("n") <= node_rows).select("turn", "pattern", "code")
-    grouped = grouped.repartition("turn", "pattern").sortWithinPartitions("turn", "pattern")
+    # Links take more time than their few bytes suggest, so tasks are dealt by rows, not by bytes.
+    tasks = -(-shared.count() // TASK_ROWS) or 1
+    grouped = grouped.repartition(tasks, "turn", "pattern").sortWithinPartitions("turn", "pattern")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
