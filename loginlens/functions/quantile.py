@@ -57,7 +57,7 @@ def _order_statistic(counts: DataFrame, rank: int, distinct: int, small: int) ->
         if index < len(edges):
             part = part.filter(F.col("v") <= edges[index])
         if row["d"] == distinct:
-            break
+            raise RuntimeError("the cut points no longer divide the values; they are too many to order in one task")
         distinct = row["d"]
     for value, n in part.orderBy("v").collect():
         before += n
