@@ -29,12 +29,12 @@ LOOKED_UP = 1 << 18
 CLASSES = 56
 EMBEDDING = 16
 STATE = 16
-#: One training document in so many, by hash, trains the network; all of them are counted.
-SHARE = 16
+#: One training document in so many, by hash, trains the network: by default each, in one of the rounds.
+SHARE = 1
 ROUNDS = 4
 #: Training tokens of a round that one task takes.
-TASK_TOKENS = 250_000
-TRAINING_SLOTS, TRAINING_WINDOW = 64, 20
+TASK_TOKENS = 1_000_000
+TRAINING_SLOTS, TRAINING_WINDOW = 256, 20
 SCORING_SLOTS, SCORING_WINDOW = 256, 32
 RATE = 0.1
 #: Different tokens that a task counts before it hands them on.
@@ -386,9 +386,9 @@ def look_up(tokens: list[bytes], places: dict[bytes, int], none: int) -> np.ndar
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, looked_up: int = LOOKED_UP, classes: int = CLASSES, embedding: int = EMBEDDING, state: int = STATE, share: int = SHARE, rounds: int = ROUNDS, rate: float = RATE) -> LanguageModel:
-    """A model of all rows of ``docs``: counts of every token, and a network trained on one document in ``share``.
+    """A model of all rows of ``docs``: counts of every token, and a network that each document trains in one round.
 
-    Nothing but the ``looked_up`` most frequent tokens and the weights reaches the driver. Rows with a null text have
+    A ``share`` above 1 trains it on one document in so many only. Nothing but the ``looked_up`` most frequent tokens and the weights reaches the driver. Rows with a null text have
     only an end; repeated rows count as often as they stand. Without rows every token has the same probability.
     """
     counts = stored(token_counts(docs, text), "counts")
@@ -424,14 +424,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
             found = [np.concatenate([look_up(p, places, k) for p in token_pieces(t.as_py())]) for t in batch.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["round", "ids"])
 
-    sample = stored(chosen.mapInArrow(ids, "round int, ids array<int>"), "sample")
-    sizes = {r["round"]: r["n"] for r in sample.groupBy("round").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    known = stored(chosen.mapInArrow(ids, "round int, ids array<int>"), "known")
+    sizes = {r["round"]: r["n"] for r in known.groupBy("round").agg(F.sum(F.size("ids")).alias("n")).collect()}
     squares = {name: np.full_like(x, 1e-6) for name, x in network.w.items()}
     for turn in sorted(sizes):
         tasks = -(-sizes[turn] // TASK_TOKENS)
-        part = sample.filter(F.col("round") == turn).select("ids").repartition(tasks)
+        part = known.filter(F.col("round") == turn).select("ids").repartition(tasks)
         squares = _train_round(network, part, squares, end, rate / (1 + sorted(sizes).index(turn)) ** 0.5)
-    delete_stored(sample)
+    delete_stored(known)
     return model
 
 

@@ -150,6 +150,19 @@ def test_counts_and_learning(spark, corpus, words, looked_up, monkeypatch):
         assert len(held) > 150 and gain > 0.25
 
 
+def test_the_network_learns_from_every_document(spark, monkeypatch):
+    rows = [(i, f"w{i} " * (1 + i % 5)) for i in range(200)] + [(None, None), (None, None)]
+    trained = []
+
+    def counted(network, part, squares, *others):
+        trained.extend(len(r["ids"]) for r in part.collect())
+        return squares
+
+    monkeypatch.setattr(lm, "_train_round", counted)
+    model = lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(trained) == len(rows) and sum(trained) == model.train_tokens
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = lm.fit(empty)
