@@ -384,6 +384,55 @@ def test_all_similar_lines_are_linked(spark, similarity):
     assert {r["doc_id"] for r in got if r["text"]} == {root(i) for i in range(len(found))}
 
 
+def groups_by_comparing(found, similarity):
+    """The least line of each group of similar lines, all pairs compared."""
+    similar = lambda a, b: abs(len(a) - len(b)) <= (1 - similarity) * max(len(a), len(b)) + 1e-9 and word_edits(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+    group = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            if group[i] != group[j] and similar(found[i], found[j]):
+                least, other = sorted((group[i], group[j]))
+                group = [least if g == other else g for g in group]
+    return set(group)
+
+
+@pytest.mark.parametrize("similarity,sizes", [(0.97, [33, 34, 35, 40, 67, 70, 101]), (0.8, [*range(5, 20), 30]), (0.5, [5, 6, 8])])
+def test_no_similar_lines_are_missed_by_default(spark, similarity, sizes):
+    rng = random.Random(31)
+    found = []
+    for n in sizes * 3:
+        # Some lines are of few different words, so that runs repeat.
+        some = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 1000]))]
+        line = [rng.choice(some) for _ in range(n)]
+        found.append(line)
+        for e in range(1, 2 + int((1 - similarity) * (n + 1) + 1e-9)):
+            changed = list(line)
+            for _ in range(e):
+                at, what = rng.randrange(len(changed)), rng.randrange(4)
+                changed[at : at + 1] = [[f"new{rng.randrange(8)}"], [f"new{rng.randrange(8)}"], [], [changed[at], "more"]][what]
+            found.append(changed)
+    found = [x for x in {" ".join(x): x for x in found}.values() if len(x) >= 5]
+    rng.shuffle(found)
+    got = lines.deduplicate_lines(frame(spark, [" ".join(x) for x in found]), similarity=similarity).collect()
+    assert {r["doc_id"] for r in got if r["text"]} == groups_by_comparing(found, similarity)
+
+
+@pytest.mark.parametrize("n,edits", [(33, 1), (70, 2)])
+def test_no_pair_at_the_threshold_is_missed(spark, n, edits):
+    rng = random.Random(n)
+    rows = []
+    for i in range(200):
+        line = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+        changed = list(line)
+        for at in rng.sample(range(n), edits):
+            changed[at] = f"new{rng.randrange(10**6)}"
+        if n == 33:
+            changed = [*line[:20], "more", *line[20:]]
+        rows += [(i, " ".join(line)), (1000 + i, " ".join(changed))]
+    got = lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("text = ''").collect()
+    assert {r["doc_id"] for r in got} == set(range(1000, 1200))
+
+
 def test_lines_in_passes(spark, monkeypatch):
     rng = random.Random(17)
     base = [[f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(20)] for _ in range(40)]
