@@ -36,6 +36,7 @@ CHUNK_ROWS = 2048  # queries that meet a block in one task
 MAX_BLOCKS = 20_000  # beyond this, blocks grow instead
 SAMPLE_PER_BLOCK = 32
 STEP_ROWS = 256  # queries compared at once
+COUNTED_DIMS = 8  # Hamming distances of up to so many coordinates are counted
 HOT_COPIES = 1_000_000  # copies from which a vector is joined by broadcast
 NEAR = "array<struct<distance:double,ref_id:bigint,copies:bigint>>"
 
@@ -344,6 +345,32 @@ def knn_search(
     return found.groupBy("query_id").agg(F.slice(merged, 1, k).alias("near"))
 
 
+def hamming_distances(queries: DataFrame, refs: DataFrame, dims: int) -> DataFrame:
+    """For query vectors (query_id, vector) how many references lie at each Hamming distance: rows (query_id, near).
+
+    ``near`` has one entry for each distance that occurs, with no ``ref_id``. References are counted by their values in
+    every set of coordinates; the sums of a query's counts over the sets of one size say how many references agree with it
+    in exactly so many coordinates, by inclusion and exclusion. No two vectors are compared, so the work grows with their
+    number. A coordinate without a number agrees with none.
+    """
+    total = refs.agg(F.sum("copies")).first()[0] or 0
+    values = [F.get("vector", F.lit(j)).cast("double") + 0.0 for j in range(dims)]
+    missing = [F.when(v.isNull() | F.isnan(v), 1 << j).otherwise(0) for j, v in enumerate(values)]
+
+    def by_set(df: DataFrame, *columns: str) -> DataFrame:
+        sets = df.select(*columns, "vector", sum(missing, F.lit(0)).alias("missing"), F.explode(F.sequence(F.lit(1), F.lit((1 << dims) - 1))).alias("set"))
+        own = F.array(*[F.when(F.col("set").bitwiseAND(F.lit(1 << j)) != 0, v) for j, v in enumerate(values)])
+        return sets.filter(F.col("set").bitwiseAND(F.col("missing")) == 0).select(*columns, "set", own.alias("values"))
+
+    counted = materialise(by_set(refs, "copies").groupBy("set", "values").agg(F.sum("copies").alias("n")))
+    met = by_set(queries, "query_id").join(counted, ["set", "values"])
+    sums = met.groupBy("query_id").agg(*[F.sum(F.when(F.bit_count("set") == m, F.col("n"))).alias(f"s{m}") for m in range(1, dims + 1)])
+    summed = [F.lit(total), *[F.coalesce(f"s{m}", F.lit(0)) for m in range(1, dims + 1)]]
+    agree = [sum((summed[m] * ((-1) ** (m - j) * math.comb(m, j)) for m in range(j, dims + 1)), F.lit(0)) for j in range(dims + 1)]
+    near = F.array(*[F.struct(F.lit((dims - j) / dims).alias("distance"), F.lit(None).cast("long").alias("ref_id"), agree[j].cast("long").alias("copies")) for j in range(dims, -1, -1)])
+    return queries.select("query_id").join(sums, "query_id", "left").select("query_id", F.filter(near, lambda c: c["copies"] > 0).alias("near"))
+
+
 def neighbour_score(values: Column, method: str) -> Column:
     """One number from the sorted distances of a row."""
     n = F.size(values)
@@ -398,12 +425,19 @@ class KNNParams(Params):
     approximate_above = Param(Params._dummy(), "approximate_above", "distinct reference vectors above which the search is approximate (0: never)", TypeConverters.toInt)
 
     def search(self, queries: DataFrame, refs: DataFrame, k: int, space: Space) -> DataFrame:
-        """The exact search, or above a limit the approximate one, for metrics that have it."""
+        """The exact search, or above a limit the approximate one, for metrics that have it.
+
+        Few coordinates need no search for Hamming distances: these are counted.
+        """
         from loginlens.operators.lsh import METRICS, approximate_knn_search
 
         limit = self.getOrDefault(self.approximate_above) if self.isDefined(self.approximate_above) else 0
         if limit and space.metric in METRICS and refs.count() > limit:
             return approximate_knn_search(queries, refs, k, space)
+        if space.metric == "hamming":
+            first = refs.select(F.size("vector").alias("d")).first()
+            if first and 0 < first["d"] <= COUNTED_DIMS:
+                return hamming_distances(queries, refs, first["d"])
         return knn_search(queries, refs, k, space)
 
 

@@ -199,3 +199,19 @@ def test_parameter_ranges():
         with pytest.raises(ValueError):
             IsolationForestDetector(max_samples=bad)
     assert set(RULES) == {"IF", "kNN", "RF", "DAGMM", "LSCP"}
+
+
+def test_hamming_neighbours_are_counted(spark, monkeypatch):
+    """Scores as from all pairs, without any comparison of vectors."""
+    rng = np.random.default_rng(4)
+    seen, new = (rng.integers(0, 3, size=(n, 4)).astype(float) * [1, -0.0, 1, 1] for n in (70, 15))
+    new[0], new[1] = 9.0, np.nan
+    frames = [spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, v array<double>") for rows in (seen, new)]
+    monkeypatch.setattr(knn, "knn_search", None)
+    detector = KNNDetector(vectorCol="v", keyCols=["id"], metric="hamming", n_neighbors=7)
+    model = detector.fit(frames[0])
+    for rows, got in ((seen, detector.fit_transform(frames[0])), (new, model.transform(frames[1]))):
+        found = {r["id"]: r["scores"] for r in got.collect()}
+        assert len(found) == len(rows)
+        for i, v in enumerate(rows):
+            assert found[i] == pytest.approx(np.sort((seen != v).mean(axis=1))[:7].mean())
