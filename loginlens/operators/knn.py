@@ -2,9 +2,10 @@
 
 Equal vectors are first merged into one with a number of copies, so that no group of copies
 reaches a single task. The distinct reference vectors are split into blocks of bounded size by a
-k-d tree over a sample. A query first meets its home block, which bounds its k-th distance; then
-only blocks whose bounding box lies within that bound are met. The sample decides how even the
-blocks are, never the result.
+k-d tree over a sample; neighbouring blocks travel together as an area. A query first meets its home
+area, which bounds its k-th distance; then only areas with a block whose bounding box lies within that
+bound. Inside a task, nearer blocks come first and lower the bound, and a screen rules out most pairs of
+a block. The sample decides how even the blocks are, never the result.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql.column import Column
 
 from loginlens.functions.quantile import exact_quantile
 from loginlens.operators.detector import VECTOR, Detector, DetectorModel
-from loginlens.operators.distances import build_metric
+from loginlens.operators.distances import PIECE, Metric, build_metric, screened
 from loginlens.schema import with_field
 from loginlens.session import materialise
 
 BLOCK_ROWS = 1024  # reference vectors per block
 SINGLE_ROWS = 8 * BLOCK_ROWS  # up to here one block is enough
 CHUNK_ROWS = 2048  # queries that meet a block in one task
+MOST_AREA = 32  # blocks that travel together; fewer in small tables, so that there are some areas for each task
+AREAS = 16
 MAX_BLOCKS = 20_000  # beyond this, blocks grow instead
 SAMPLE_PER_BLOCK = 32
 STEP_ROWS = 256  # queries compared at once
@@ -183,6 +186,7 @@ class Blocks:
         self.single = self.rows <= SINGLE_ROWS * block_rows // BLOCK_ROWS
         block_rows = max(block_rows, math.ceil(self.rows / MAX_BLOCKS))
         wanted = SAMPLE_PER_BLOCK * math.ceil(self.rows / block_rows)
+        self.per_area, self.chunk_rows = 1, CHUNK_ROWS
         if self.single:
             self.table = self.place(refs)
             return
@@ -202,12 +206,18 @@ class Blocks:
             *[F.max(F.get("vector", F.lit(j))).alias(f"hi{j}") for j in range(self.dims)],
         ).collect()
         total = int(self.starts[-1] + self.splits[-1])
+        self.per_area = max(1, min(MOST_AREA, max(total // AREAS, min(8, total // 4))))
+        self.chunk_rows = max(CHUNK_ROWS, self.per_area * block_rows)
         self.low = np.full((total, self.dims), np.inf)
         self.high = np.full((total, self.dims), -np.inf)
         for row in boxes:
             self.low[row["block"]] = row[1 : 1 + self.dims]
             self.high[row["block"]] = row[1 + self.dims :]
 
+    def area(self, block: Column) -> Column:
+        """Blocks of neighbouring leaves have neighbouring numbers."""
+        return F.floor(block / self.per_area).cast("long")
+
     def _number(self, splits: np.ndarray) -> None:
         self.splits = splits
         self.starts = np.concatenate([[0], np.cumsum(splits)[:-1]])
@@ -232,48 +242,110 @@ class Blocks:
         return df.mapInArrow(assign, with_field(df.schema, "block", T.LongType()))
 
 
+class Found:
+    """The up to k nearest references met so far by some queries; ``limit`` is the distance beyond which none counts."""
+
+    def __init__(self, limit: np.ndarray, k: int) -> None:
+        self.limit, self.k, self.waiting = limit.copy(), k, 0
+        self.parts = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+
+    def add(self, row: np.ndarray, value: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        near = value <= self.limit[row]
+        self.parts.append((row[near], value[near], ids[near], at[near]))
+        self.waiting += int(near.sum())
+        if self.waiting > 2 * self.k * len(self.limit):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        row, value, ids, at = (np.concatenate(p) for p in zip(*self.parts))
+        order = np.lexsort((ids, value, row))
+        row, value, ids, at = row[order], value[order], ids[order], at[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(self.limit)))[row]
+        last = place == self.k - 1
+        self.limit[row[last]] = np.minimum(self.limit[row[last]], value[last])
+        keep = place < self.k
+        self.parts, self.waiting = [(row[keep], value[keep], ids[keep], at[keep])], 0
+        return self.parts[0]
+
+
+def _least(metric: Metric, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least distance of every query to every box, with room for rounding between it and the distance itself."""
+    return metric.bound(q, low, high) * (1 - 1e-9) - 1e-12
+
+
 def _nearest(space: Space, k: int, queries: pa.Table, refs: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """Per query the up to k nearest references of one block within the query's bound."""
+    """Per query the up to k nearest of some references within the query's bound.
+
+    References may name their ``ref_block``; those of one block are compared together. Queries are compared in steps of
+    STEP_ROWS, so neighbouring ones should follow each other.
+    """
     metric = space.build()
-    ids = refs.column("ref_id").to_numpy()
-    copies = refs.column("copies").to_numpy()
-    r = matrix(refs.column("ref_vector"))
-    q = matrix(queries.column("vector"))
+    if "ref_block" in refs.column_names:
+        refs = refs.take(np.argsort(refs.column("ref_block").to_numpy(), kind="stable"))
+    ids, copies = refs.column("ref_id").to_numpy(), refs.column("copies").to_numpy()
+    r, q = matrix(refs.column("ref_vector")), matrix(queries.column("vector"))
     limits = queries.column("bound").to_numpy()
+    block = refs.column("ref_block").to_numpy() if "ref_block" in refs.column_names else np.zeros(len(r), dtype=np.int64)
+    begins = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
+    begins = np.concatenate([np.arange(a, b, BLOCK_ROWS) for a, b in zip(begins, [*begins[1:], len(r)])])
+    ends = np.concatenate([begins[1:], [len(r)]])
+    low, high = np.minimum.reduceat(r, begins, axis=0), np.maximum.reduceat(r, begins, axis=0)
+    first = max(4 * k, 64)  # compared in full, to have a limit
+    screen = metric.screen(r) if metric.screen and len(r) > first and screened(r) and screened(q) else None
     sizes, parts = [], []
-    for at in range(0, len(q), STEP_ROWS):
-        d = metric.pairs(q[at : at + STEP_ROWS], r)
-        limit = limits[at : at + STEP_ROWS]
-        if d.shape[1] > k:
-            limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-        row, col = np.nonzero(d <= limit[:, None])
-        value = d[row, col]
-        order = np.lexsort((ids[col], value, row))
-        row, col, value = row[order], col[order], value[order]
-        begin = np.searchsorted(row, np.arange(len(d)))
-        keep = np.arange(len(row)) - begin[row] < k
-        row, col, value = row[keep], col[keep], value[keep]
-        sizes.append(np.bincount(row, minlength=len(d)))
-        parts.append((value, ids[col], copies[col]))
+    for start in range(0, len(q), STEP_ROWS):
+        some = q[start : start + STEP_ROWS]
+        found = Found(limits[start : start + STEP_ROWS], k)
+        look = screen(some) if screen else None
+        least = _least(metric, some, low, high)
+        for b in np.argsort(least.min(axis=0), kind="stable"):
+            asked = np.flatnonzero(~(least[:, b] > found.limit))
+            if not len(asked):
+                continue
+            begin, end = int(begins[b]), int(ends[b])
+            until = end if look is None else begin
+            if look and np.isinf(found.limit[asked]).any():
+                until = min(begin + first, end)
+            if until > begin:
+                d = metric.pairs(some[asked], r[begin:until])
+                limit = found.limit[asked]
+                if d.shape[1] > k:
+                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                row, col = np.nonzero(d <= limit[:, None])
+                found.add(asked[row], d[row, col], ids[begin + col], begin + col)
+                found.settle()
+            if until < end:
+                row, col = np.nonzero(look(asked, until, end, found.limit[asked]))
+                for i in range(0, len(row), PIECE):
+                    own, col_ = asked[row[i : i + PIECE]], until + col[i : i + PIECE]
+                    if metric.rough:
+                        near = ~(metric.rough(some[own], r[col_]) > found.limit[own] * (1 + 1e-9) + 1e-300)
+                        own, col_ = own[near], col_[near]
+                    found.add(own, metric.rows(some[own], r[col_]), ids[col_], col_)
+        row, value, own, at = found.settle()
+        sizes.append(np.bincount(row, minlength=len(some)))
+        parts.append((value, own, copies[at]))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
     flat = [np.concatenate([p[i] for p in parts]) for i in range(3)]
     struct = pa.StructArray.from_arrays([pa.array(x) for x in flat], ["distance", "ref_id", "copies"])
     return np.diff(offsets), pa.ListArray.from_arrays(offsets, struct)
 
 
-def _meet(visits: DataFrame, blocks: Blocks, k: int, space: Space, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Compare every query with the block it visits: rows (query_id, vector, block, near).
+def _meet(visits: DataFrame, blocks: Blocks, k: int, space: Space) -> DataFrame:
+    """Compare every query with the area it visits: rows (query_id, vector, block, near).
 
-    A block many queries visit is sent to several tasks, each with a part of the queries.
+    An area many queries visit is sent to several tasks, each with a part of the queries.
     """
-    busy = visits.groupBy("block").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("chunks"))
-    busy = F.broadcast(busy)  # one row per block, at most MAX_BLOCKS and the splits of uneven leaves
-    asked = visits.join(busy, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
-    offered = blocks.table.join(busy, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    busy = visits.groupBy("area").agg(F.ceil(F.count("*") / F.lit(blocks.chunk_rows)).cast("int").alias("chunks"))
+    busy = F.broadcast(busy)  # one row per area, at most MAX_BLOCKS and the splits of uneven leaves
+    asked = visits.join(busy, "area").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+    placed = blocks.table.withColumn("area", blocks.area(F.col("block")))
+    offered = placed.join(busy, "area").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def compare(queries: pa.Table, refs: pa.Table) -> pa.Table:
         if not queries.num_rows or not refs.num_rows:
             return empty.slice(0, 0)
+        queries = queries.take(np.argsort(queries.column("block").to_numpy(), kind="stable"))
         _, near = _nearest(space, k, queries, refs)
         return pa.table(
             {
@@ -293,9 +365,9 @@ def _meet(visits: DataFrame, blocks: Blocks, k: int, space: Space, chunk_rows: i
             "near": pa.array([], near_type),
         }
     )
-    left = asked.select("query_id", "vector", "block", "bound", "chunk").groupBy("block", "chunk")
+    left = asked.select("query_id", "vector", "block", "bound", "area", "chunk").groupBy("area", "chunk")
     right = offered.select(
-        "ref_id", F.col("vector").alias("ref_vector"), "copies", F.col("block").alias("to"), F.col("chunk").alias("part")
+        "ref_id", F.col("vector").alias("ref_vector"), "copies", F.col("block").alias("ref_block"), F.col("area").alias("to"), F.col("chunk").alias("part")
     ).groupBy("to", "part")
     return left.cogroup(right).applyInArrow(compare, f"query_id bigint, vector array<double>, block bigint, near {NEAR}")
 
@@ -316,10 +388,12 @@ def knn_search(
     """
     blocks = Blocks(refs, block_rows)
     home = blocks.place(queries.select("query_id", "vector")).withColumn("bound", F.lit(float("inf")))
+    home = home.withColumn("area", blocks.area(F.col("block")))
     if blocks.single:
         return _meet(home, blocks, k, space).select("query_id", "near")
     first = materialise(_meet(home, blocks, k, space))
-    low, high = blocks.low, blocks.high
+    low, high, per_area = blocks.low, blocks.high, blocks.per_area
+    begins = np.arange(0, len(low), per_area)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metric = space.build()
@@ -327,18 +401,18 @@ def knn_search(
             for at in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(at, STEP_ROWS)
                 q, bound = matrix(part.column("vector")), part.column("bound").to_numpy()
-                least = metric.bound(q, low, high)
-                # Leave room for rounding between the bound and the distance itself.
-                wanted = least * (1 - 1e-9) - 1e-12 <= bound[:, None]
-                wanted[np.arange(len(q)), part.column("block").to_numpy()] = False
-                row, block = np.nonzero(wanted)
-                taken = part.select(["query_id", "vector", "bound"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(block)], ["query_id", "vector", "bound", "block"])
+                wanted = np.logical_or.reduceat(~(_least(metric, q, low, high) > bound[:, None]), begins, axis=1)
+                wanted[np.arange(len(q)), part.column("block").to_numpy() // per_area] = False
+                row, area = np.nonzero(wanted)
+                offsets = np.searchsorted(row, np.arange(len(q) + 1)).astype(np.int32)
+                areas = pa.ListArray.from_arrays(offsets, pa.array(area.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, areas], [*part.schema.names, "areas"])
 
     near_k = distances(F.col("near"), k)
     bound = F.when(F.size(near_k) >= k, F.element_at(near_k, k)).otherwise(F.lit(float("inf")))
     asked = first.select("query_id", "vector", "block", bound.alias("bound"))
-    visits = materialise(asked.mapInArrow(others, "query_id bigint, vector array<double>, bound double, block bigint"))
+    asked = materialise(asked.mapInArrow(others, "query_id bigint, vector array<double>, block bigint, bound double, areas array<bigint>"))
+    visits = asked.withColumn("area", F.explode("areas")).drop("areas")
     rest = _meet(visits, blocks, k, space).filter(F.size("near") > 0)
     found = first.select("query_id", "near").unionByName(rest.select("query_id", "near"))
     merged = F.array_sort(F.flatten(F.collect_list("near")))

@@ -1,6 +1,7 @@
 """Detectors against brute force and their invariants."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,49 @@ def test_every_metric_is_symmetric_and_bounded_by_boxes():
         assert (metric.bound(ready, low, high)[:, 0] <= d[:, :20].min(axis=1) + 1e-12).all(), name
 
 
+SCREENED = ["euclidean", "sqeuclidean", "manhattan", "chebyshev", "canberra", "braycurtis", "cosine", "correlation"]
+
+
+@pytest.mark.parametrize("name", SCREENED)
+def test_screens_keep_every_pair_within_the_limit(name):
+    """Most far pairs are ruled out, none within its limit; distances row by row are those of the table."""
+    rng = np.random.default_rng(5)
+    metric = build_metric(name)
+    r = metric.prepare(np.concatenate([rng.normal(size=(400, 32)), np.round(rng.normal(size=(100, 32))), np.zeros((1, 32)), 1e3 + rng.normal(size=(20, 32))]))
+    q = np.concatenate([r[::20], -r[5:8], metric.prepare(3 * rng.normal(size=(20, 32)))])
+    d = metric.pairs(q, r)
+    limit = np.partition(d, 9, axis=1)[:, 9]
+    look = metric.screen(r)(q)
+    some = np.arange(1, len(q), 2)
+    kept = look(some, 100, 521, limit[some])
+    assert not ((d[some, 100:] <= limit[some, None]) & ~kept).any()
+    assert look(np.arange(0, 25), 0, 400, limit[:25]).mean() < 0.6
+    row, col = np.nonzero(d < 1e9)
+    assert np.allclose(metric.rows(q[row], r[col]), d[row, col], rtol=0, atol=1e-12 if name in ("cosine", "correlation") else 0)
+
+
+def test_values_that_single_precision_does_not_hold_are_compared_in_full():
+    far = np.array([[0.0, 1e200], [1e-300, 3.0]])
+    refs = pa.table({"ref_id": range(300), "copies": [1] * 300, "ref_vector": [[float(i), 1e200 if i % 2 else 3.0] for i in range(300)]})
+    asked = pa.table({"query_id": [0, 1], "vector": far.tolist(), "bound": [np.inf, np.inf]})
+    near = knn._nearest(knn.Space(), 2, asked, refs)[1].to_pylist()
+    assert [[c["ref_id"] for c in n] for n in near] == [[1, 3], [0, 2]]
+
+
+def test_queries_travel_to_areas_of_blocks_once(spark, monkeypatch):
+    """Vectors far from each other: every query meets all blocks, but is sent to few areas, not once to each block."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1600, 16))
+    refs = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "ref_id long, vector array<double>, copies long")
+    sent, meet = [], knn._meet
+    monkeypatch.setattr(knn, "_meet", lambda visits, *rest: sent.append(visits.count()) or meet(visits, *rest))
+    near = knn_search(refs.selectExpr("ref_id as query_id", "vector"), refs, 5, block_rows=32)
+    got = {r["query_id"]: [c["ref_id"] for c in r["near"]] for r in near.collect()}
+    assert sum(sent) <= 1600 * 20
+    d = build_metric("euclidean").pairs(x, x)
+    assert all(got[i] == list(np.argsort(d[i], kind="stable")[:5]) for i in range(1600))
+
+
 def test_names_for_one_metric_agree():
     p = np.array([[1.0, 0.0, 2.0], [0.0, 3.0, 2.0], [1.0, 1.0, 0.0]])
     for names in (["minkowski", "euclidean", "l2"], ["l1", "cityblock", "manhattan"], ["rogerstanimoto", "sokalmichener"]):
