@@ -58,11 +58,19 @@ class LSCPDetector(Detector, LSCPParams):
         )
 
     def _fit(self, df: DataFrame) -> "LSCPModel":
-        knn, forest = (member.fit(df) for member in self._members())
-        model = LSCPModel(self, self.columns_of(df), knn, forest)
+        return self._learn(df)[0]
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Fit and score the same rows, with one neighbour search for the distance detector and one for the regions."""
+        model, scored = self._learn(df)
+        return model.attach(df, scored.select("vector", "copies", "scores"))
+
+    def _learn(self, df: DataFrame) -> tuple["LSCPModel", DataFrame]:
+        by_distance, by_isolation = self._members()
+        knn, near = by_distance._learn(df)
+        model = LSCPModel(self, self.columns_of(df), knn, by_isolation.fit(df))
         # One line per distinct training vector; equal vectors have equal scores.
-        vectors = self.with_vector(df).select(VECTOR)
-        scored = model.member_scores(distinct_vectors(vectors, VECTOR).select(F.col("vector").alias(VECTOR), "copies"))
+        scored = model.with_isolation(near.select(F.col("vector").alias(VECTOR), "copies", F.col("scores").alias("_a")))
         weight = F.col("copies")
         moments = scored.agg(
             *[(F.sum(F.col(c) * weight) / F.sum(weight)).alias(f"m{c}") for c in STANDARD],
@@ -77,9 +85,9 @@ class LSCPDetector(Detector, LSCPParams):
                 F.monotonically_increasing_id().alias("ref_id"), F.col(VECTOR).alias("vector"), "copies", *STANDARD, "_target"
             )
         )
-        combined = model.combine(model.train.select(F.col("ref_id").alias("query_id"), "vector", "copies", *STANDARD))
+        combined = materialise(model.combine(model.train.select(F.col("ref_id").alias("query_id"), "vector", "copies", *STANDARD)))
         model.border = exact_quantile(combined, "scores", 1 - self.value("contamination"), weight="copies")
-        return model
+        return model, combined
 
 
 class LSCPModel(DetectorModel, LSCPParams):
@@ -95,13 +103,16 @@ class LSCPModel(DetectorModel, LSCPParams):
 
     def member_scores(self, vectors: DataFrame) -> DataFrame:
         """Raw scores of both detectors for distinct vectors, higher meaning worse."""
-        source = vectors.withColumn("_v", F.col(VECTOR))
-        knn, forest = self.knn.copy(), self.forest.copy()
-        for member in (knn, forest):
-            member._set(vectorCol="_v")
-            member.columns = ["_v"]
-        by_distance = knn.transform(source).withColumnRenamed("scores", "_a").drop("anomaly")
-        both = forest.transform(by_distance)
+        knn = self.knn.copy()
+        knn._set(vectorCol="_v")
+        knn.columns = ["_v"]
+        return self.with_isolation(knn.transform(vectors.withColumn("_v", F.col(VECTOR))).withColumnRenamed("scores", "_a").drop("anomaly", "_v"))
+
+    def with_isolation(self, by_distance: DataFrame) -> DataFrame:
+        forest = self.forest.copy()
+        forest._set(vectorCol="_v")
+        forest.columns = ["_v"]
+        both = forest.transform(by_distance.withColumn("_v", F.col(VECTOR)))
         return both.withColumn("_b", -F.col("scores")).drop("scores", "anomaly", "_v")
 
     def combine(self, queries: DataFrame) -> DataFrame:
@@ -123,9 +134,12 @@ class LSCPModel(DetectorModel, LSCPParams):
         distinct = distinct_vectors(rows.select(VECTOR), VECTOR)
         members = self.member_scores(distinct.select(F.col("vec_id").alias("query_id"), F.col("vector").alias(VECTOR), "copies"))
         scaled = standardise(members, STANDARD, self.stats).withColumnRenamed(VECTOR, "vector")
-        scores = materialise(self.combine(materialise(scaled)).select("vector", "copies", "scores"))
+        return self.attach(df, materialise(self.combine(materialise(scaled)).select("vector", "copies", "scores")))
+
+    def attach(self, df: DataFrame, scores: DataFrame) -> DataFrame:
+        """Scores of distinct vectors back on the rows."""
         anomaly = (F.col("scores") > F.lit(float(self.border))).cast("int")
-        return join_by_vector(rows, scores, VECTOR).select(*df.columns, "scores", anomaly.alias("anomaly"))
+        return join_by_vector(self.with_vector(df, self.columns), scores, VECTOR).select(*df.columns, "scores", anomaly.alias("anomaly"))
 
     def state(self) -> dict[str, Any]:
         return {"stats": self.stats, "border": self.border}

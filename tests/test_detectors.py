@@ -114,6 +114,18 @@ def test_queries_travel_to_areas_of_blocks_once(spark, monkeypatch):
     assert all(got[i] == list(np.argsort(d[i], kind="stable")[:5]) for i in range(1600))
 
 
+def test_ensemble_scores_its_training_rows_without_searching_again(spark, rows, monkeypatch):
+    from loginlens.operators import lscp
+
+    searches = []
+    count = lambda module: monkeypatch.setattr(module, "knn_search", lambda *a, f=module.knn_search, **kw: searches.append(1) or f(*a, **kw))
+    detector = LSCPDetector(n_neighbors=5, n_estimators=5, region_size=10, featureCols=COLUMNS)
+    wanted = scores_of(detector.fit(rows).transform(rows))
+    count(knn), count(lscp)
+    assert np.allclose(scores_of(detector.fit_transform(rows)), wanted)
+    assert len(searches) == 2
+
+
 def test_names_for_one_metric_agree():
     p = np.array([[1.0, 0.0, 2.0], [0.0, 3.0, 2.0], [1.0, 1.0, 0.0]])
     for names in (["minkowski", "euclidean", "l2"], ["l1", "cityblock", "manhattan"], ["rogerstanimoto", "sokalmichener"]):
