@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlens.operators.kmeans import fit_centres
+from loginlens.operators.kmeans import TASK_ROWS, fit_centres
 from loginlens.operators.normalise import entity_means
 from loginlens.schema import GROUP
 from loginlens.session import broadcast_if_small, few_partitions, materialise
@@ -74,12 +74,22 @@ def fit_groups(means: DataFrame, k: int = 13, seed: int = 123, restarts: int = 1
         n = vectors.count()
         if n < 2:
             raise ValueError("grouping needs at least two entities")
-        centres, cost = fit_centres(few_partitions(vectors, n), VECTOR, min(k, n), restarts, max_iter, seed)
+        spread = spread_rows(vectors, n).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            centres, cost = fit_centres(spread, VECTOR, min(k, n), restarts, max_iter, seed)
+        finally:
+            spread.unpersist()
         return GroupModel(centres.tolist(), columns, cost)
     finally:
         vectors.unpersist()
 
 
+def spread_rows(vectors: DataFrame, rows: int) -> DataFrame:
+    """As many partitions as passes over the rows are worth, though the rows themselves are small."""
+    tasks = -(-rows // TASK_ROWS)
+    return vectors.repartition(tasks) if tasks > 1 else few_partitions(vectors, rows)
+
+
 def attach_group(features: DataFrame, groups: DataFrame, entities: int | None = None) -> DataFrame:
     """Add each entity's group to its rows, as the last column.
 

@@ -6,7 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from loginlens.operators import kmeans
+from loginlens.operators import grouping, kmeans
 from loginlens.operators.grouping import fit_groups
 
 
@@ -57,6 +57,22 @@ def test_cost_is_never_above_sequential_fits(points, table):
     assert [found[f"e{i}"] for i in range(len(points))] == (gaps.argmin(axis=1) + 1).tolist()
 
 
+def test_passes_are_dealt_to_several_tasks(spark, points, monkeypatch):
+    """Small rows that every start compares are not one task's work, and the groups stay the same."""
+    rows = spark.createDataFrame([(f"e{i}", *map(float, p)) for i, p in enumerate(points)], "entity string, x0 double, x1 double, x2 double").coalesce(1)
+    whole, parts, look = fit_groups(rows, k=9, restarts=5), [], kmeans.pass_over
+
+    def counted(rows, vector, centres):
+        parts.append(rows.rdd.getNumPartitions())
+        return look(rows, vector, centres)
+
+    monkeypatch.setattr(grouping, "TASK_ROWS", 100)
+    monkeypatch.setattr(kmeans, "pass_over", counted)
+    dealt = fit_groups(rows, k=9, restarts=5)
+    assert set(parts) == {4}
+    assert np.array(dealt.centres) == pytest.approx(np.array(whole.centres)) and dealt.cost == pytest.approx(whole.cost)
+
+
 def test_few_rows_nulls_and_empty_tables(spark, table):
     same = spark.createDataFrame([("a", [1.0, 2.0])] * 5 + [("b", [3.0, 2.0])], table.schema)
     centres, cost = kmeans.fit_centres(same, "v", 4, starts=3)
