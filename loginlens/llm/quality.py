@@ -22,6 +22,8 @@ from loginlens.llm.common import stored
 #: Most labelled rows that a model is fitted on.
 LABELLED_ROWS = 200_000
 FEATURES = 256
+#: Rows whose features a task holds at a time.
+SCORED_ROWS = 1024
 RIDGE = 1e-3
 SEED = 7
 #: Partitions that the normal equations of the bounded sample are summed in.
@@ -103,7 +105,8 @@ class QualityModel:
         return np.hstack([waves, np.ones((len(rows), 1))])
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
-        return self.features(rows) @ self.coefficients
+        parts = [self.features(rows[i : i + SCORED_ROWS]) @ self.coefficients for i in range(0, len(rows), SCORED_ROWS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Calibrated scores in [0, 1], rising with the raw ones."""
@@ -163,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             y = batch.column(0).to_numpy()
             x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(y), d)
-            z = model.features(x)
-            total += z.T @ np.hstack([z, y[:, None]])
+            for i in range(0, len(x), SCORED_ROWS):
+                z = model.features(x[i : i + SCORED_ROWS])
+                total += z.T @ np.hstack([z, y[i : i + SCORED_ROWS, None]])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
     parts = known.filter(~calibrating).select("y", "x").mapInArrow(sums, "i int, row array<double>")
@@ -202,7 +206,9 @@ def add_scores(docs: DataFrame, model: QualityModel, text: str = "text", score:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([statistics(t.as_py()) for t in batch.column(len(keep))], dtype=np.float64).reshape(batch.num_rows, len(STATISTICS))
+            rows = np.empty((batch.num_rows, len(STATISTICS)))
+            for i, t in enumerate(batch.column(len(keep))):
+                rows[i] = statistics(t.as_py())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(model.score(rows))], names=[*keep, score])
 
     return source.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -316,6 +317,23 @@ def test_line_fingerprints(spark, monkeypatch):
     assert read() == whole
 
 
+def test_lines_do_not_carry_their_document(spark, monkeypatch):
+    """A task's memory does not grow with the lines times the bytes of a document."""
+    text, df, runs = "\n".join(f"line {i} of a long document" for i in range(3000)), frame(spark, [""]), []
+    monkeypatch.setattr(lines, "stored", lambda df, name: df)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    lines.fingerprinted_lines(df, "doc_id", "text", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text])], names=["key", "row", "text"])
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    try:
+        assert sum(b.num_rows for b in runs[0](iter([batch]))) == 3000
+    finally:
+        pa.set_memory_pool(usual)
+    assert pool.max_memory() < 40 * len(text)
+
+
 def test_both_ways_to_split_lines_agree(spark):
     texts = ["One, two;three_four 5\x7f6 x\u00e9y", "\u4e2d\u6587abc \u0e01\u0e02 \U00020001z", "a" * 11, "\n\nword\nfive words are in here\r", "", None]
     a = lines.fingerprinted_lines(frame(spark, texts), "doc_id", "text", 2).select("key", "row", "pos", "size")
