@@ -13,41 +13,40 @@ from loginlens.operators.knn import as_lists, matrix
 
 #: Rows of least hash from which all starts are taken, and on which they are run first.
 START_ROWS = 4096
-#: Rows compared with all centres at a time, so few that their distances stay in a core's cache.
-CHUNK = 256
+#: Rows compared with all centres at a time.
+CHUNK = 2048
 #: Rows of a pass that one task takes; each is compared with the centres of all starts.
 TASK_ROWS = 8192
 #: A start is steady once no centre moves farther.
 TOLERANCE = 1e-4
 
 
-def cluster_sums(parts: Iterable[np.ndarray], centres: np.ndarray) -> np.ndarray:
-    """By start and cluster: rows, squared distances to the centre, and sums of the differences from it.
-
-    Centres are (starts, k, dimensions); of equally near ones a row goes to the first. Rows are added up as differences
-    from the middle of all centres, so that products and sums of values near zero keep their digits.
-    """
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre by row and start, for centres (starts, k, dimensions); ties go to the first."""
     starts, k, dims = centres.shape
     flat = centres.reshape(-1, dims)
-    middle = flat.mean(axis=0)
+    middle = flat.mean(axis=0)  # products of values near zero keep their digits
     flat = flat - middle
-    squares = (flat**2).sum(axis=1)
-    first = np.arange(starts)[:, None] * k
-    sums = np.zeros((starts * k, dims + 2))
+    gaps = (flat**2).sum(axis=1) - 2 * ((x - middle) @ flat.T)
+    return gaps.reshape(len(x), starts, k).argmin(axis=2)
+
+
+def cluster_sums(parts: Iterable[np.ndarray], centres: np.ndarray) -> np.ndarray:
+    """By start and cluster: rows, squared distances to the centre, and sums of the differences from it."""
+    starts, k, dims = centres.shape
+    sums = np.zeros((starts, k, dims + 2))
     for rows in parts:
         for at in range(0, len(rows), CHUNK):
-            x = rows[at : at + CHUNK] - middle
-            gaps = -2 * flat @ x.T
-            gaps += squares[:, None]
-            gaps = gaps.reshape(starts, k, len(x))
-            labels = (gaps == gaps.min(axis=1)[:, None]).argmax(axis=1)
-            place = (labels + first).ravel()
-            for i, values in enumerate((np.ones(len(x)), (x**2).sum(axis=1), *x.T)):
-                sums[:, i] += np.bincount(place, np.tile(values, starts), len(sums))
-    counts, added = sums[:, 0], sums[:, 2:]
-    sums[:, 1] = np.maximum(sums[:, 1] - 2 * (flat * added).sum(axis=1) + counts * squares, 0)
-    added -= counts[:, None] * flat
-    return sums.reshape(starts, k, dims + 2)
+            x = rows[at : at + CHUNK]
+            labels = nearest_centres(x, centres).T
+            # One start at a time, so that the differences stay in a core's cache.
+            for own, near, added in zip(labels, centres, sums):
+                away = x - near[own]
+                added[:, 0] += np.bincount(own, minlength=k)
+                added[:, 1] += np.bincount(own, (away**2).sum(axis=1), k)
+                for d in range(dims):
+                    added[:, 2 + d] += np.bincount(own, away[:, d], k)
+    return sums
 
 
 def pass_over(rows: DataFrame, vector: str, centres: np.ndarray) -> np.ndarray:
