@@ -74,22 +74,19 @@ def fit_groups(means: DataFrame, k: int = 13, seed: int = 123, restarts: int = 1
         n = vectors.count()
         if n < 2:
             raise ValueError("grouping needs at least two entities")
-        spread = spread_rows(vectors, n).persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = -(-n // TASK_ROWS)
+        # The passes are worth more tasks than the rows, which are small; few rows stay as they are.
+        rows = few_partitions(vectors, n) if tasks == 1 else vectors.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            centres, cost = fit_centres(spread, VECTOR, min(k, n), restarts, max_iter, seed)
+            centres, cost = fit_centres(rows, VECTOR, min(k, n), restarts, max_iter, seed)
         finally:
-            spread.unpersist()
+            if tasks > 1:
+                rows.unpersist()
         return GroupModel(centres.tolist(), columns, cost)
     finally:
         vectors.unpersist()
 
 
-def spread_rows(vectors: DataFrame, rows: int) -> DataFrame:
-    """As many partitions as passes over the rows are worth, though the rows themselves are small."""
-    tasks = -(-rows // TASK_ROWS)
-    return vectors.repartition(tasks) if tasks > 1 else few_partitions(vectors, rows)
-
-
 def attach_group(features: DataFrame, groups: DataFrame, entities: int | None = None) -> DataFrame:
     """Add each entity's group to its rows, as the last column.
 
