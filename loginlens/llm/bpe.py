@@ -22,6 +22,8 @@ FIRST_CHARACTER = 0x100
 #: The piece for unknown characters; it holds none of the byte characters, so it is no token.
 UNKNOWN = "?"
 REMEMBERED = 400_000
+#: Texts are split and joined in pieces of about so many bytes.
+SLICE_BYTES = 1 << 19
 #: (characters that need the full pattern, pattern for other texts) equal to the public pre-token pattern.
 PLAIN = (
     "[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]",
@@ -157,7 +159,7 @@ def encode(
     return source.mapInArrow(run, schema)
 
 
-def _row_ranges(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _row_ranges(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes (or list items) together."""
     from pyarrow import compute as pc
 

@@ -201,13 +201,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def add_scores(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all others than ``score`` if not given) and the score of each whole text; empty ones as well."""
     keep = [c for c in docs.columns if c != score] if keep is None else keep
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(score, T.DoubleType(), False)])
+    # A kept text is sent to the tasks once.
+    source = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__text"))
+    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField(score, T.DoubleType(), False)])
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.empty((batch.num_rows, len(STATISTICS)))
-            for i, t in enumerate(batch.column(len(keep))):
+            for i, t in enumerate(batch.column(at)):
                 rows[i] = statistics(t.as_py())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(model.score(rows))], names=[*keep, score])
 

@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,19 @@ def test_pipeline_stages_with_odd_rows(spark, tmp_path):
     assert F is not None
 
 
+def test_pipeline_sends_small_batches_to_python(spark):
+    import corpus_pipeline
+    from loginlens.llm.common import BATCH_BYTES, BATCH_CONF
+
+    docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(BATCH_CONF)
+        stage(spark, docs, SF)
+        assert spark.conf.get(BATCH_CONF) == str(BATCH_BYTES)
+    sizes = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text")).mapInArrow(lambda batches: (pa.record_batch([[b.nbytes]], ["n"]) for b in batches), "n long")
+    assert max(r["n"] for r in sizes.collect()) < BATCH_BYTES + 100_000
+
+
 def test_near_copies_without_or_with_equal_ids(spark):
     import corpus_pipeline
 

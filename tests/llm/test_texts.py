@@ -554,6 +554,17 @@ def test_quality(spark):
     assert 10 < bounded <= 80
 
 
+def test_quality_sends_a_kept_text_once(spark, capsys):
+    docs = frame(spark, ["some words", None, ""])
+    model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    whole, alone = quality.add_scores(docs, model), quality.add_scores(docs, model, keep=["doc_id"])
+    whole.explain()
+    assert "__text" not in capsys.readouterr().out
+    assert whole.columns == ["doc_id", "text", "component", "score"] and alone.columns == ["doc_id", "score"]
+    assert [(r["doc_id"], r["score"]) for r in whole.collect()] == [tuple(r) for r in alone.collect()]
+    assert [r["text"] for r in whole.collect()] == ["some words", None, ""]
+
+
 def test_held_out_labels_are_never_learnt(spark):
     docs = frame(spark, [words(random.Random(i), 30) for i in range(60)])
     flip = F.when(quality.held_out(F.col("doc_id")), 1 - F.col("doc_id") % 2).otherwise(F.col("doc_id") % 2).cast("int")
