@@ -425,7 +425,8 @@ def hamming_distances(queries: DataFrame, refs: DataFrame, dims: int) -> DataFra
     ``near`` has one entry for each distance that occurs, with no ``ref_id``. References are counted by their values in
     every set of coordinates; the sums of a query's counts over the sets of one size say how many references agree with it
     in exactly so many coordinates, by inclusion and exclusion. No two vectors are compared, so the work grows with their
-    number. A coordinate without a number agrees with none.
+    number. A coordinate without a number agrees with none. The counts are joined by shuffle: Spark's estimate leaves out
+    the many sets of every row, so it would broadcast them by way of the driver.
     """
     total = refs.agg(F.sum("copies")).first()[0] or 0
     values = [F.get("vector", F.lit(j)).cast("double") + 0.0 for j in range(dims)]
@@ -437,7 +438,7 @@ def hamming_distances(queries: DataFrame, refs: DataFrame, dims: int) -> DataFra
         return sets.filter(F.col("set").bitwiseAND(F.col("missing")) == 0).select(*columns, "set", own.alias("values"))
 
     counted = materialise(by_set(refs, "copies").groupBy("set", "values").agg(F.sum("copies").alias("n")))
-    met = by_set(queries, "query_id").join(counted, ["set", "values"])
+    met = by_set(queries, "query_id").join(counted.hint("merge"), ["set", "values"])
     sums = met.groupBy("query_id").agg(*[F.sum(F.when(F.bit_count("set") == m, F.col("n"))).alias(f"s{m}") for m in range(1, dims + 1)])
     summed = [F.lit(total), *[F.coalesce(f"s{m}", F.lit(0)) for m in range(1, dims + 1)]]
     agree = [sum((summed[m] * ((-1) ** (m - j) * math.comb(m, j)) for m in range(j, dims + 1)), F.lit(0)) for j in range(dims + 1)]

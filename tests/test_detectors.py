@@ -271,3 +271,13 @@ def test_hamming_neighbours_are_counted(spark, monkeypatch):
         assert len(found) == len(rows)
         for i, v in enumerate(rows):
             assert found[i] == pytest.approx(np.sort((seen != v).mean(axis=1))[:7].mean())
+
+
+def test_hamming_counts_are_not_broadcast(spark):
+    """The sets of coordinates make many rows out of each; Spark's estimate leaves them out."""
+    bits = F.array(*[F.shiftright("id", j).bitwiseAND(F.lit(1)).cast("double") for j in range(6)])
+    refs = spark.range(64).select(F.col("id").alias("ref_id"), bits.alias("vector"), F.lit(1).cast("long").alias("copies"))
+    near = knn.hamming_distances(refs.select(F.col("ref_id").alias("query_id"), "vector"), refs, 6)
+    joins = [line for line in near._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line and "[set#" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    assert all([c["copies"] for c in r["near"]] == [1, 6, 15, 20, 15, 6, 1] for r in near.collect())
