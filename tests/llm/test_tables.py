@@ -220,6 +220,30 @@ def test_query_against_sql(spark, results, name):
     assert as_text(found) == as_text(expected)
 
 
+def nearly_repeated_lines():
+    """Rows of documents, and the texts that are left of them: of every two lines one has up to a fifth of its words changed."""
+    rng = random.Random(41)
+    rows, left = [], []
+    for i, n in enumerate((5, 7, 10, 12, 20, 32)):
+        line = [f"word{rng.randrange(10**6)}" for _ in range(n)]
+        near, far = list(line), list(line)
+        for k, at in enumerate(rng.sample(range(n), n // 5 + 1)):
+            far[at] = f"other{i}{k}"
+            near[at] = f"new{i}{k}" if k < n // 5 else near[at]
+        texts = [" ".join(line), f"{' '.join(near)}\nthe end of text number {i} {i * 7} {i * 11}", " ".join(far)]
+        rows += [(10 * i + k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+        left += [(10 * i, texts[0]), (10 * i + 1, texts[1].split("\n")[1]), (10 * i + 2, texts[2])]
+    return rows, left
+
+
+def test_lines_are_compared_by_edits_whatever_their_length(spark, tmp_path):
+    """Short lines too lose their near copies, and keep those a word further away."""
+    rows, left = nearly_repeated_lines()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == left
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
