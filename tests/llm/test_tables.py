@@ -297,3 +297,12 @@ def test_near_copies_without_or_with_equal_ids(spark):
     got = corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()
     expected = [(None, b), (None, c), (1, d), (2, e), (2, f), (4, g), (4, a.upper())]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, expected))
+
+
+def test_pipeline_removes_lines_that_nearly_repeat(spark):
+    import corpus_pipeline
+
+    rows, left = nearly_repeated_lines()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_repeated_lines(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == left and all(r["n_chars"] == len(r["text"]) for r in got)
