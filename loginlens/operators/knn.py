@@ -39,6 +39,7 @@ AREAS = 16
 MAX_BLOCKS = 20_000  # beyond this, blocks grow instead
 SAMPLE_PER_BLOCK = 32
 STEP_ROWS = 256  # queries compared at once
+FEW_BOXES = 32  # boxes in one larger box, where areas are looked for
 COUNTED_DIMS = 8  # Hamming distances of up to so many coordinates are counted
 HOT_COPIES = 1_000_000  # copies from which a vector is joined by broadcast
 NEAR = "array<struct<distance:double,ref_id:bigint,copies:bigint>>"
@@ -273,6 +274,29 @@ def _least(metric: Metric, q: np.ndarray, low: np.ndarray, high: np.ndarray) ->
     return metric.bound(q, low, high) * (1 - 1e-9) - 1e-12
 
 
+def box_levels(low: np.ndarray, high: np.ndarray, many: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The boxes in the last place; before them boxes around ``many`` neighbouring ones each, until there are few."""
+    levels = [(low, high)]
+    while len(levels[0][0]) > many:
+        starts = np.arange(0, len(levels[0][0]), many)
+        levels.insert(0, (np.minimum.reduceat(levels[0][0], starts, axis=0), np.maximum.reduceat(levels[0][1], starts, axis=0)))
+    return levels
+
+
+def boxes_within(metric: Metric, q: np.ndarray, bound: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of boxes, in order, and which of them may hold a vector within the bound of which query.
+
+    Boxes inside a larger one that lies beyond every bound are left out, so queries near each other look at few.
+    """
+    some = np.arange(len(levels[0][0]))
+    for i, (low, high) in enumerate(levels):
+        near = ~(_least(metric, q, low[some], high[some]) > bound[:, None])
+        if i + 1 < len(levels):
+            some = (some[near.any(axis=0)][:, None] * many + np.arange(many)).ravel()
+            some = some[some < len(levels[i + 1][0])]
+    return some, near
+
+
 def _nearest(space: Space, k: int, queries: pa.Table, refs: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """Per query the up to k nearest of some references within the query's bound.
 
@@ -291,6 +315,7 @@ def _nearest(space: Space, k: int, queries: pa.Table, refs: pa.Table) -> tuple[n
     ends = np.concatenate([begins[1:], [len(r)]])
     low, high = np.minimum.reduceat(r, begins, axis=0), np.maximum.reduceat(r, begins, axis=0)
     first = max(4 * k, 64)  # compared in full, to have a limit
+    piece = max(PIECE, PIECE * 64 // max(1, q.shape[1]))  # about as many numbers, whatever the coordinates
     screen = metric.screen(r) if metric.screen and len(r) > first and screened(r) and screened(q) else None
     sizes, parts = [], []
     for start in range(0, len(q), STEP_ROWS):
@@ -316,8 +341,8 @@ def _nearest(space: Space, k: int, queries: pa.Table, refs: pa.Table) -> tuple[n
                 found.settle()
             if until < end:
                 row, col = np.nonzero(look(asked, until, end, found.limit[asked]))
-                for i in range(0, len(row), PIECE):
-                    own, col_ = asked[row[i : i + PIECE]], until + col[i : i + PIECE]
+                for i in range(0, len(row), piece):
+                    own, col_ = asked[row[i : i + piece]], until + col[i : i + piece]
                     if metric.rough:
                         near = ~(metric.rough(some[own], r[col_]) > found.limit[own] * (1 + 1e-9) + 1e-300)
                         own, col_ = own[near], col_[near]
@@ -392,8 +417,7 @@ def knn_search(
     if blocks.single:
         return _meet(home, blocks, k, space).select("query_id", "near")
     first = materialise(_meet(home, blocks, k, space))
-    low, high, per_area = blocks.low, blocks.high, blocks.per_area
-    begins = np.arange(0, len(low), per_area)
+    levels, per_area = box_levels(blocks.low, blocks.high, FEW_BOXES), blocks.per_area
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metric = space.build()
@@ -401,11 +425,13 @@ def knn_search(
             for at in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(at, STEP_ROWS)
                 q, bound = matrix(part.column("vector")), part.column("bound").to_numpy()
-                wanted = np.logical_or.reduceat(~(_least(metric, q, low, high) > bound[:, None]), begins, axis=1)
-                wanted[np.arange(len(q)), part.column("block").to_numpy() // per_area] = False
-                row, area = np.nonzero(wanted)
+                some, near = boxes_within(metric, q, bound, levels, FEW_BOXES)
+                area, begins = np.unique(some // per_area, return_index=True)
+                wanted = np.logical_or.reduceat(near, begins, axis=1) if len(area) else near
+                wanted = wanted & (area != part.column("block").to_numpy()[:, None] // per_area)
+                row, at_area = np.nonzero(wanted)
                 offsets = np.searchsorted(row, np.arange(len(q) + 1)).astype(np.int32)
-                areas = pa.ListArray.from_arrays(offsets, pa.array(area.astype(np.int64)))
+                areas = pa.ListArray.from_arrays(offsets, pa.array(area[at_area].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns, areas], [*part.schema.names, "areas"])
 
     near_k = distances(F.col("near"), k)

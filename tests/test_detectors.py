@@ -281,3 +281,24 @@ def test_hamming_counts_are_not_broadcast(spark):
     joins = [line for line in near._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line and "[set#" in line]
     assert len(joins) == 1 and "SortMergeJoin" in joins[0]
     assert all([c["copies"] for c in r["near"]] == [1, 6, 15, 20, 15, 6, 1] for r in near.collect())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "chebyshev", "braycurtis", "cosine", "jaccard"])
+def test_areas_are_looked_for_in_larger_boxes(metric):
+    """The boxes found are those of a look at all, and queries near each other look at few."""
+    rng = np.random.default_rng(12)
+    m = build_metric(metric)
+    boxes = [m.prepare(np.concatenate([rng.normal(size=(10, 3)) / 20 + rng.normal(size=3), np.zeros((2, 3))] if metric == "jaccard" else [rng.normal(size=(10, 3)) / 20 + [i / 20, 1.0, 1.0]])) for i in range(700)]
+    low, high = (np.array([f(b, axis=0) for b in boxes]) for f in (np.min, np.max))
+    low[5], high[5] = np.inf, -np.inf  # a block without rows
+    levels = knn.box_levels(low, high, 8)
+    assert [len(a) for a, _ in levels] == [2, 11, 88, 700]
+    q = m.prepare(rng.normal(size=(40, 3)) / 20 + [3.0, 1.0, 1.0])
+    for reach in (0.0, 0.01, 0.2, np.inf):
+        bound = np.full(len(q), reach)
+        some, near = knn.boxes_within(m, q, bound, levels, 8)
+        found = np.zeros((len(q), len(low)), dtype=bool)
+        found[:, some] = near
+        expected = ~(knn._least(m, q, low, high) > bound[:, None])
+        assert (np.delete(found == expected, 5, axis=1)).all() and (np.diff(some) > 0).all()
+        assert metric != "euclidean" or reach > 0.2 or len(some) < 100
