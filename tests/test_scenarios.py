@@ -161,3 +161,28 @@ def test_end_mark_hands_out_open_bins_and_empties_the_state(spark, baseline):
     batch = extract_features(prep.clean(prep.in_range(baseline, START, "2021-06-04")), START, "2021-06-04", "host", five)
     assert found.count() == batch.count() and found.exceptAll(batch).count() == 0
     assert sum(s["numRowsTotal"] for s in second.lastProgress["stateOperators"]) == 0
+
+
+def test_stream_state_is_kept_on_disk(spark, baseline):
+    """In memory it would grow with a micro-batch's events. A stream begun with another store goes on with that."""
+    path, day = new_shared_path(spark, "in"), TimeBin("h", 24)
+    prep.in_range(baseline, START, "2021-06-03").coalesce(1).write.parquet(path)
+    features = stream_features(clean_stream(stream_logons(spark, path, 1)), START, "2021-06-03", "host", day)
+    provider, found = "spark.sql.streaming.stateStore.providerClass", []
+    for own in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        out, state = new_shared_path(spark, "out"), new_shared_path(spark, "state")
+        if own:
+            spark.conf.set(provider, own)
+        try:
+            write_stream(features, out, state).awaitTermination()
+            assert spark.conf.get(provider, None) == own
+        finally:
+            spark.conf.unset(provider)
+        if own:
+            end_stream(spark, path)
+            write_stream(features, out, state).awaitTermination()
+        files = {f.suffix for f in Path(state, "state").rglob("*") if f.is_file()}
+        assert (".delta" in files, ".zip" in files) == (bool(own), not own)
+        found.append(read_stream_output(spark, out))
+    assert found[1].exceptAll(extract_features(prep.clean(prep.in_range(baseline, START, "2021-06-03")), START, "2021-06-03", "host", day)).count() == 0
+    assert 0 < found[0].count() < found[1].count() and found[0].exceptAll(found[1]).count() == 0
